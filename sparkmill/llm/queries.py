@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("packing", "sharding", "simhash", "tokencount", "bpe", "vectors", "tokenfile", "language", "toxicity")
+MODULES = ("packing", "bpe", "vectors", "toxicity", "tokencount", "tokenfile", "media", "simhash", "sharding", "language")
 
 
 def _all(what: str) -> dict:
