@@ -218,6 +218,23 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose language the model does not reject; no row moves."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(text_col)]
+            keep = np.zeros(len(texts), bool)
+            some = [k for k, t in enumerate(texts) if model is not None and has_letter(t)]
+            if some:
+                keep[some] = ~model.judge(model.sums([texts[k] for k in some]))[2]
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str, folds: int, fold: int):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(folds)) == fold, F.lit(False))
 

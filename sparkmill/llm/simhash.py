@@ -56,14 +56,15 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """doc_id and fp (a signed long) of every row."""
+    """doc_id, text_key (a hash of the text) and fp (a signed long) of every row."""
 
     def run(batches):
         for batch in batches:
-            got = [fingerprint(t.as_py(), **how) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64())], names=["doc_id", "fp"])
+            got = [fingerprint(t.as_py(), **how) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.int64())], names=["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text).mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
 def _children(low, high, ones):
@@ -227,7 +228,7 @@ def links(fps: DataFrame, budget: int = BUDGET, hot: int = HOT, spread: int = SP
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """doc_id, fp, component_id (the least doc_id reachable) of every row."""
+    """doc_id, text_key, fp, component_id (the least doc_id reachable) of every row."""
     marked = materialise(fingerprints(docs, id_col, text_col, **how), "fingerprints")
     fps = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     found = materialise(components(links(fps.select("fp"), budget)), "components")
@@ -235,7 +236,19 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = found.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     classes = fps.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(classes, "fp").select("doc_id", "text_key", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, budget: int = BUDGET, **how) -> DataFrame:
+    """One row of docs, all columns, of each component: that of the least doc_id.
+
+    Of repeated rows one stays.  A group in which no row has an id keeps one row of each text.
+    """
+    least = F.lit(-(1 << 63))
+    key = {"_id": F.coalesce(F.col("doc_id").cast("long"), least), "_key": F.xxhash64("text")}
+    gone = near_duplicates(docs, budget, **how).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = gone.select(F.coalesce("doc_id", least).alias("_id"), F.col("text_key").alias("_key"))
+    return docs.withColumns(key).join(gone, ["_id", "_key"], "left_anti").dropDuplicates(["_id", "_key"]).select(docs.columns)
 
 
 def hexed(fp):

@@ -300,6 +300,19 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> Data
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int, n_hits int, n_quoted int")
 
 
+def accepted(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold; no row moves."""
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+
+    def run(batches):
+        scorer = shared.value
+        finder = scorer.ready()
+        for batch in batches:
+            yield batch.filter(pa.array([scorer.score(finder.hits(t.as_py())) < threshold for t in batch.column("text")], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     docs = table(spark, sf_dir, "documents")
