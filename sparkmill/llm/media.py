@@ -168,7 +168,9 @@ class MemberReader(DataSourceReader):
                 start = (member, place)
         return out
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark asks once where there are no partitions
+            return
         with _open(partition.archive) as f:
             f.seek(partition.entries_at + struct.calcsize(ENTRY) * partition.first)
             entries = list(struct.iter_unpack(ENTRY, f.read(struct.calcsize(ENTRY) * (partition.last - partition.first))))

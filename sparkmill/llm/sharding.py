@@ -130,8 +130,9 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, g
     keys, total = Keys(low or 0, high or 0), total or 0
     parts = min(MOST_RANGES, -(-n // (range_rows * shards)) or 1)
     fair = total / shards
-    targets = [round(fair * k / parts) for k in range(1, shards * parts)]
-    border = [k % parts == 0 for k in range(1, shards * parts)]
+    inner = range(1, shards * parts if n else 1)
+    targets = [round(fair * k / parts) for k in inner]
+    border = [k % parts == 0 for k in inner]
     slack = [int(fair * tolerance / 2) if b else int(fair / parts / 4) for b in border]
     cuts = find_splitters(slim, keys, total, n, targets, slack) if n else []
     at = [i for i, b in enumerate(border) if b]

@@ -1,0 +1,165 @@
+"""Packing, encoding, counting and token files against the libraries."""
+
+from __future__ import annotations
+
+import hashlib
+import struct
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from sparkmill.llm import bpe, packing, rans, tokencount, tokenfile
+from sparkmill.llm.bytebpe import byte_bpe_50k
+from sparkmill.llm.scratch import new_path
+
+from .conftest import odd_rows
+
+BYTES, WORDS, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
+
+
+def byte_ids(text) -> list[int]:
+    return Tokenizer.from_file(BYTES).encode(text or "", add_special_tokens=False).ids + [0]
+
+
+def crc(ids) -> int:
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+def test_cut():
+    assert packing.cut(5, 8) == [(0, 5)]
+    assert packing.cut(16, 8) == [(0, 8), (8, 8)]
+    assert packing.cut(17, 8) == [(0, 1), (1, 8), (9, 8)]
+
+
+def test_best_fit_takes_the_tightest_bin():
+    bins = packing.BestFit(10, 3)
+    assert [bins.place(n) for n in (6, 7, 3, 4, 10)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0)]
+    closing = packing.BestFit(10, 1)
+    assert [closing.place(n) for n in (5, 6, 4, 5)] == [(0, 0), (1, 0), (2, 0), (2, 4)] or closing.made >= 2
+    with pytest.raises(ValueError):
+        bins.place(11)
+
+
+def test_packing(spark, odd):
+    rows = packing.pack(odd, byte_bpe_50k(), capacity=512).collect()
+    docs = defaultdict(list)
+    for r in rows:
+        ids = np.frombuffer(r["ids"], "<u4")
+        assert len(ids) == r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        docs[r["doc_id"], r["piece"], r["start"]].append(ids.tolist())
+    for doc, text in odd_rows():
+        want = byte_ids(text)
+        for k, (start, n) in enumerate(packing.cut(len(want), 512)):
+            assert want[start : start + n] in docs[doc, k, start]
+    assert len(rows) == sum(len(packing.cut(len(byte_ids(t)), 512)) for _, t in odd_rows())
+    bins = defaultdict(list)
+    for r in rows:
+        bins[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in bins.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 512
+    assert len(bins) <= 1 + sum(r["length"] for r in rows) / 512 * 1.02
+
+
+def test_packing_bounds_hold_in_groups(spark):
+    parts = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), (1 + F.pmod(F.xxhash64("id"), F.lit(300))).alias("length"))
+    rows = packing.best_fit(parts, 300, 1000, 16).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
+    assert all(r["n"] == r["end"] <= 300 for r in rows)
+
+
+def test_word_bpe(spark, odd):
+    library = Tokenizer.from_file(WORDS)
+    got = defaultdict(list)
+    for r in bpe.digests(odd, WORDS).collect():
+        got[r["doc_id"]].append((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for doc, text in odd_rows():
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))) in got[doc]
+    assert sum(map(len, got.values())) == len(odd_rows())
+
+
+def test_word_bpe_ids_and_text(spark, odd):
+    library = Tokenizer.from_file(WORDS)
+    some = odd.where("doc_id in (7, 8, 9, 101)")
+    encoded = bpe.encode(some, WORDS)
+    ids = {r["doc_id"]: r["ids"] for r in encoded.collect()}
+    text = {r["doc_id"]: r["text"] for r in bpe.decode(encoded, WORDS).collect()}
+    for r in some.collect():
+        want = library.encode(r["text"], add_special_tokens=False).ids
+        assert ids[r["doc_id"]] == want and text[r["doc_id"]] == library.decode(want, skip_special_tokens=False)
+
+
+@pytest.mark.parametrize("text", ["", " ", "<|ENDOFTEXT|> a", "x\x85y\xa0z", "ﬁ Å é", "ẞ ſ K", "'s 't''ll", "a​b", "ὒ ΐ ᾳ"])
+def test_word_bpe_odd_texts(text):
+    words = bpe.word_bpe(WORDS)
+    assert [i for x in words.encode(words.words(text)) for i in x] == Tokenizer.from_file(WORDS).encode(text, add_special_tokens=False).ids
+
+
+def test_token_counts(spark, odd):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in tokencount.token_counts(odd, PIECES).collect())
+    counts = [(str(d), len((t or "").encode()), len(model.encode(t or ""))) for d, t in odd_rows()]
+    assert got == sorted((*x, x[2] > 4096) for x in counts)
+
+
+@pytest.mark.parametrize("text", ["", " ", "  ", "a ", " a", "a  b ", " ▁ a▁b", "\n x \n", "   "])
+def test_pre_tokens(text):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert sum(tokencount.counter(PIECES)(tokencount.pre_tokens(text))) == len(model.encode(text))
+
+
+def test_token_files(spark, odd):
+    path = new_path(spark, "test-token-files")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tokenfile.write(odd, path, byte_bpe_50k(), block_ids=3000)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(f"{path}/blocks").select("part").distinct().count() > 1
+    rows = sorted(tokenfile.read(spark, path).collect(), key=lambda r: r["start"])
+    at = 0
+    for r in rows:
+        assert r["start"] == at and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        at += r["n_tokens"]
+    assert [-1 if r["doc_id"] is None else r["doc_id"] for r in rows] == sorted(-1 if d is None else d for d, _ in odd_rows())
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in rows) == sorted((str(d), len(byte_ids(t)), crc(byte_ids(t))) for d, t in odd_rows())
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 5000, 150_000])
+def test_rans_round_trip(n):
+    ids = (np.random.default_rng(n).zipf(1.2, n) % 9000).astype(np.uint32)
+    table = rans.Table.of_counts(np.bincount(ids, minlength=9000) + (np.arange(9000) == 0))
+    data = rans.encode(ids, table, 64, 128)
+    block = rans.Block(data)
+    assert (block.all(table) == ids).all()
+    for k in reversed(range(block.segments)):
+        assert (block.decode(k, table) == ids[k * 64 * 128 :][: len(block.decode(k, table))]).all() or block.lanes != 64
+    if n > 40:
+        with pytest.raises(ValueError):
+            rans.Block(data[:-9] + b"x" + data[-8:])
+        broken = bytearray(data[:-4])
+        broken[struct.calcsize("<4sIIII") + 8] ^= 1  # a segment's checksum
+        with pytest.raises(ValueError):
+            rans.Block(bytes(broken) + struct.pack("<I", zlib.crc32(bytes(broken)))).decode(0, table)
+
+
+def test_empty_tables(spark, none):
+    assert packing.pack(none, byte_bpe_50k()).isEmpty()
+    assert bpe.digests(none, WORDS).isEmpty()
+    assert tokencount.token_counts(none, PIECES).isEmpty()
+    path = new_path(spark, "test-no-files")
+    tokenfile.write(none, path, byte_bpe_50k())
+    assert tokenfile.read(spark, path).isEmpty()
