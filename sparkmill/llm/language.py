@@ -4,8 +4,8 @@ Subwords are the 2- to 4-byte runs of the lower-case text within words and their
 borders, hashed into buckets.  A document is the mean of its subwords'
 embeddings, and a linear softmax gives its language.  Embeddings and softmax are
 trained by stochastic gradient descent in numpy on the driver, on a sample of at
-most about PER_LANGUAGE documents of each language (chosen by a hash of the id,
-whole texts).  A fifth of the sample is kept out of the training and calibrates
+most about PER_LANGUAGE documents of each language and ALTOGETHER in all (chosen
+by a hash of the id, whole texts).  A fifth of the sample is kept out of the training and calibrates
 a temperature for the scores and the limits of rejection: the confidence and the
 share of subwords known from training below which nearly no document of a known
 language lies.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .scratch import table
 
 SIZES, BUCKETS, DIMENSIONS = (2, 3, 4), 1 << 17, 16
-PER_LANGUAGE, EPOCHS, RATE, SLICE, SEED = 400, 8, 0.5, 1 << 20, 11
+PER_LANGUAGE, ALTOGETHER, EPOCHS, RATE, SLICE, SEED = 400, 4000, 8, 0.5, 1 << 20, 11
 FOLDS, HELD = 4, 2
 UNKNOWN = "und"
 
@@ -176,6 +176,7 @@ def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_c
     sizes = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}
     if not sizes:
         return None
+    per_language = min(per_language, -(-ALTOGETHER // len(sizes)))
     place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20))
     most = F.coalesce(*(F.when(F.col(label_col) == name, F.lit(int((1 << 20) * per_language / n))) for name, n in sizes.items()))
 
