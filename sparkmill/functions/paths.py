@@ -34,3 +34,8 @@ def digest(content: Column) -> Column:
 
 def destination_name(sha256: Column, path: Column) -> Column:
     return F.concat(F.substring(sha256, 1, 12), F.lit("_"), basename(path))
+
+
+def plain_path(path: Column) -> Column:
+    """A local file's path without its scheme, however many slashes follow that."""
+    return F.regexp_replace(path, "^file:/+", "/")

@@ -23,7 +23,8 @@ ROWS_AT_ONCE = 64
 def images(spark: SparkSession, root: str) -> DataFrame:
     """path, height, width, channels, data of every image; undecodable ones have height -1."""
     found = spark.read.format("image").option("recursiveFileLookup", "true").load(root)
-    return found.select(F.url_decode("image.origin").alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
+    # a plus sign is itself in a path
+    return found.select(F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B"))).alias("path"), "image.height", "image.width", "image.nChannels", "image.data")
 
 
 def readable(height, width):

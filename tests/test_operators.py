@@ -231,3 +231,39 @@ def test_stream(spark, tmp_path):
     query = triage_feed(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))).writeStream.format("memory").queryName("feed").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted((r["event_id"], r["label"]) for r in spark.table("feed").collect()) == [(1, "Pothole"), (2, "Invalid")]
+
+
+def test_whole_audit_and_split(spark, tree, tmp_path):
+    from sparkmill.__main__ import main
+    from sparkmill.plans import entries
+
+    found = entries.audit(spark, tree)
+    assert [(r["split"], r["filepath"].rsplit("/", 1)[1]) for r in found.unreadable.collect()] == [("train", "c.jpg")]
+    assert found.manifest.count() == 6 and found.duplicates.count() == 6
+    main(["audit", "--data-dir", tree, "--output", str(tmp_path / "report"), "--manifest-output", str(tmp_path / "manifest")])
+    assert spark.read.json(str(tmp_path / "report")).count() == 2
+    assert spark.read.csv(str(tmp_path / "manifest"), header=True).count() == 6
+    pool = {r["path"].rsplit("/", 1)[1]: r["label"] for r in entries.pool(spark, tree).collect()}
+    assert pool == {"a b.png": "Normal", "a2.PNG": "Normal", "d.png": "Pothole"}
+    main(["split", "--data-dir", tree, "--output", str(tmp_path / "clean")])
+    written = spark.read.parquet(str(tmp_path / "clean/split"))
+    assert written.count() == 3 and written.select("sha256").distinct().count() == 3
+    assert spark.read.csv(str(tmp_path / "clean/issues"), header=True).count() == 4
+    with pytest.raises(ValueError):
+        entries.pool(spark, f"{tree}/test")
+
+
+def test_evaluation_files_and_saved_head(spark, tmp_path):
+    from sparkmill.__main__ import main
+    from sparkmill.sources.sinks import load_head, save_head
+
+    spark.createDataFrame([(1, 0.9), (0, 0.2), (1, 0.4), (0, 0.5)], "y int, p double").write.parquet(str(tmp_path / "scores"))
+    main(["evaluate", "--scores", str(tmp_path / "scores"), "--output", str(tmp_path / "out")])
+    figures = {(r["metric"], r["class_name"]): r["value"] for r in spark.read.json(str(tmp_path / "out/metrics")).collect()}
+    assert figures["accuracy", "all"] == 0.5 and figures["roc_auc", "all"] == 0.75
+    assert spark.read.csv(str(tmp_path / "out/predictions"), header=True).count() == 4
+    rows = spark.createDataFrame([([0.0, 1.0], 0), ([1.0, 0.0], 1)] * 5, "v array<float>, y int")
+    model = training.fit_head(rows, "v", "y")
+    save_head(model, str(tmp_path / "head"))
+    assert load_head(str(tmp_path / "head")).coefficients == model.coefficients
+    assert spark.read.json(str(tmp_path / "head/history")).count() == len(training.history(model))
