@@ -43,5 +43,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like materialise(), dealt into as many buckets of key as a shuffle has
+    partitions: a join on key then moves only its other side."""
+    spark = df.sparkSession
+    made = f"sparkmill_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").option("path", new_path(spark, name)).bucketBy(buckets, key).saveAsTable(made)
+    return spark.table(made)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,7 +7,7 @@
    corpus is looked up in one task, once.  A word that stands in every document
    comes once from each block: no word is hot.
 3. The answers return to their block by (block, bucket, place) and meet the
-   documents there.
+   documents there; the table is bucketed by block, so documents stay in place.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import bucketed
 
 BLOCK_BYTES, BLOCK_WORDS = 16 << 20, 1_000_000
 
@@ -111,7 +111,7 @@ def blocks(docs: DataFrame, split: Callable[[], Callable[[str], list[str]]], cou
             yield closed()
 
     schema = "block long, doc_id array<long>, n_bytes array<long>, n_words array<long>, seq binary, counts binary, bucket_of binary, words array<binary>"
-    return materialise(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema), "word-blocks")
+    return bucketed(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema), "word-blocks", "block")
 
 
 def answers(table: DataFrame, look_up: Callable[[], Callable[[list[str]], Iterable]], packed: Callable[[list], bytes]) -> DataFrame:
@@ -150,7 +150,7 @@ def met(table: DataFrame, found: DataFrame, finish: Callable, schema: str) -> Da
                 packed = [a["packed"] for a in sorted(row["answers"] or [], key=lambda a: a["bucket"])]
                 yield finish(row, packed, np.argsort(of, kind="stable"))
 
-    return table.drop("words").join(found, "block", "left").mapInArrow(run, schema)
+    return table.drop("words").join(found.hint("shuffle_hash"), "block", "left").mapInArrow(run, schema)
 
 
 def sums(values: np.ndarray, lengths: list[int]) -> np.ndarray:
