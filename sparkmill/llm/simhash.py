@@ -1,12 +1,14 @@
 """SimHash near-duplicates by a self-join of binary tries (operator 8).
 
-Fingerprints within ``budget`` bits agree in at least one of budget + 1 blocks
-of the 64 bits.  For each block the distinct fingerprints are turned so that
-this block leads, and the trie of the turned values is joined with itself below
-each full block: pairs of trie nodes go down together, differing bits add up,
+Fingerprints within ``budget`` bits agree in at least k of budget + k blocks of
+the 64 bits.  For each choice of k blocks the distinct fingerprints are turned so
+that these lead, and the trie of the turned values is joined with itself below
+each full lead: pairs of trie nodes go down together, differing bits add up,
 and a pair of nodes ends as soon as they exceed the budget.  Pairs of small
-nodes are compared at once.  A block value that very many fingerprints share
-is dealt on as pairs of its trie's next nodes, again within the budget.
+nodes are compared at once.  A lead that very many fingerprints share is dealt
+on as pairs of its trie's next nodes, again within the budget.  k grows with the
+number of fingerprints, so that leads stay about as long as their logarithm:
+more turns, but far fewer pairs below each lead.
 
 Tasks return a spanning forest of the links that they find, at most one link
 for each fingerprint, never all pairs of a group of near copies.  Components
@@ -19,6 +21,9 @@ An empty table gives an empty result.  Extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +35,8 @@ from .scratch import materialise, table
 BUDGET, WORDS, SEED = 4, 4, 42
 #: A group larger than HOT is dealt on by SPREAD more bits; pairs of nodes of LEAF or fewer pairs are compared at once.
 HOT, SPREAD, LEAF, AT_ONCE = 65_536, 4, 1024, 1 << 21
+#: Up to so many fingerprints one block leads, up to so many two, beyond them three.
+MANY = (1 << 23, 1 << 31)
 
 _SET = np.array([[v >> (7 - b) & 1 for b in range(8)] for v in range(256)], np.int64)
 
@@ -140,23 +147,45 @@ def forest(n: int, pairs) -> np.ndarray:
     return root
 
 
-def _blocks(budget: int) -> list[tuple[int, int]]:
-    """(turn, width): turning left by turn bits brings a block of width bits to the front."""
-    n = budget + 1
+def _turns(budget: int, leading: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Orders of blocks (place from the top, width) and the width of their lead, for every choice of leading blocks."""
+    n = budget + leading
     cuts = [64 * k // n for k in range(n + 1)]
-    return [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    blocks = [(a, b - a) for a, b in zip(cuts, cuts[1:], strict=False)]
+    out = []
+    for chosen in combinations(range(n), leading):
+        order = [blocks[k] for k in chosen] + [b for k, b in enumerate(blocks) if k not in chosen]
+        out.append((order, sum(w for _, w in order[:leading])))
+    return out
+
+
+def _turned(fp, order: list[tuple[int, int]]):
+    at, parts = 64, []
+    for a, w in order:
+        at -= w
+        parts.append(F.shiftleft(F.shiftrightunsigned(fp, 64 - a - w).bitwiseAND(F.lit((1 << w) - 1).cast("long")), at))
+    return reduce(lambda x, y: x.bitwiseOR(y), parts)
+
+
+def _back(codes: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    at, out = 64, np.zeros_like(codes)
+    for a, w in order:
+        at -= w
+        out |= (codes >> np.uint64(at) & np.uint64((1 << w) - 1)) << np.uint64(64 - a - w)
+    return out
 
 
-def links(fps: DataFrame, budget: int = BUDGET, hot: int = HOT, spread: int = SPREAD) -> DataFrame:
+def links(fps: DataFrame, budget: int = BUDGET, hot: int = HOT, spread: int = SPREAD, leading: int | None = None) -> DataFrame:
     """Links (u, v) that connect all distinct fingerprints within budget bits of each other.
 
     fps: one column fp of distinct longs, materialised.
     """
-    blocks = _blocks(budget)
-    turned = fps.select("fp", F.explode(F.array(*(
-        F.struct(F.lit(k).alias("turn"), (F.shiftleft("fp", t).bitwiseOR(F.shiftrightunsigned("fp", 64 - t)) if t else F.col("fp")).alias("code"),
-                 F.shiftrightunsigned((F.shiftleft("fp", t).bitwiseOR(F.shiftrightunsigned("fp", 64 - t)) if t else F.col("fp")), 64 - w).alias("block"))
-        for k, (t, w) in enumerate(blocks)))).alias("x")).select("x.*")
+    if leading is None:
+        n = fps.count()
+        leading = 1 + sum(n > most for most in MANY)
+    turns = _turns(budget, leading)
+    codes = fps.select(F.explode(F.array(*(F.struct(F.lit(k).alias("turn"), F.lit(lead).alias("lead"), _turned(F.col("fp"), order).alias("code")) for k, (order, lead) in enumerate(turns)))).alias("x")).select("x.*")
+    turned = codes.withColumn("block", F.expr("shiftrightunsigned(code, 64 - lead)"))
     sizes = turned.groupBy("turn", "block").agg(F.count("*").alias("n")).where(F.col("n") > hot)
     many = materialise(sizes.select("turn", "block", F.lit(True).alias("_hot")), "hot-blocks")
     at = F.lit(None).cast("int")
@@ -166,9 +195,7 @@ def links(fps: DataFrame, budget: int = BUDGET, hot: int = HOT, spread: int = SP
         # the next bits of a hot block name 2^spread nodes; each pair of nodes within the budget is a group
         marked = turned.join(many, ["turn", "block"], "left")
         cool = marked.where("_hot is null").select("turn", "block", at.alias("a"), at.alias("b"), F.lit(0).alias("side"), "code")
-        node = F.lit(0)
-        for k, (_, w) in enumerate(blocks):
-            node = F.when(F.col("turn") == k, F.shiftrightunsigned("code", 64 - w - spread).bitwiseAND((1 << spread) - 1)).otherwise(node)
+        node = F.expr(f"shiftrightunsigned(code, 64 - lead - {spread})").bitwiseAND(F.lit((1 << spread) - 1).cast("long"))
         own = marked.where("_hot").withColumn("node", node.cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.lit((1 << spread) - 1)))
         own = own.withColumn("other", other).where(F.bit_count(F.col("node").bitwiseXOR(F.col("other"))) <= budget)
@@ -207,7 +234,7 @@ def links(fps: DataFrame, budget: int = BUDGET, hot: int = HOT, spread: int = SP
         starts = np.flatnonzero(new)
         ends = np.append(starts[1:], len(new))
         codes, lone = x["code"].view(np.uint64), x["a"][starts] == x["b"][starts]
-        for turn, (t, w) in enumerate(blocks):
+        for turn, (order, lead) in enumerate(turns):
             for joined in (False, True):
                 own = (x["turn"][starts] == turn) & (lone != joined)
                 if not own.any():
@@ -217,11 +244,9 @@ def links(fps: DataFrame, budget: int = BUDGET, hot: int = HOT, spread: int = SP
                 sides = None
                 if joined:
                     sides = groups[1:] - np.add.reduceat(x["side"][rows], groups[:-1])
-                root = forest(len(rows), trie_join(codes[rows], groups, sides, budget, 64 - w))
+                root = forest(len(rows), trie_join(codes[rows], groups, sides, budget, 64 - lead))
                 far = root != np.arange(len(rows))
-                u, v = codes[rows][far], codes[rows][root[far]]
-                if t:  # turn back
-                    u, v = ((z >> np.uint64(t)) | (z << np.uint64(64 - t)) for z in (u, v))
+                u, v = _back(codes[rows][far], order), _back(codes[rows][root[far]], order)
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     return dealt.mapInArrow(run, "u long, v long")

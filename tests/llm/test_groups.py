@@ -49,8 +49,8 @@ def test_fingerprints_and_components(spark, odd):
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in got) == sorted((str(d), str(least[r])) for (d, _), r in zip(rows, root, strict=True))
 
 
-@pytest.mark.parametrize(("hot", "seed"), [(1 << 16, 1), (20, 2)])
-def test_trie_join_links_all(spark, hot, seed):
+@pytest.mark.parametrize(("hot", "seed", "leading"), [(1 << 16, 1, None), (20, 2, 1), (1 << 16, 3, 2), (8, 4, 2), (1 << 16, 5, 3)])
+def test_trie_join_links_all(spark, hot, seed, leading):
     rng = random.Random(seed)
     base = [rng.getrandbits(64) for _ in range(40)]
     codes = set()
@@ -64,12 +64,12 @@ def test_trie_join_links_all(spark, hot, seed):
     codes |= {(0xABC << 52) | rng.getrandbits(52) & ~(0xFFF << 30) for _ in range(200)}
     codes = sorted(codes)
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
-    found = simhash.links(spark.createDataFrame([(c,) for c in signed], "fp long"), hot=hot, spread=3).collect()
+    found = simhash.links(spark.createDataFrame([(c,) for c in signed], "fp long"), hot=hot, spread=3, leading=leading).collect()
     at = {c: k for k, c in enumerate(signed)}
     want = roots(len(codes), [(a, b) for a in range(len(codes)) for b in range(a) if (codes[a] ^ codes[b]).bit_count() <= 4])
     assert all((codes[at[r["u"]]] ^ codes[at[r["v"]]]) >= 0 for r in found)
     assert roots(len(codes), [(at[r["u"]], at[r["v"]]) for r in found]) == want
-    assert len(found) <= 5 * len(codes) * (8 if hot < 100 else 1)
+    assert len(found) <= {1: 5, 2: 15, 3: 35}[leading or 1] * len(codes) * (8 if hot < 100 else 1)
 
 
 def test_components(spark):
