@@ -237,8 +237,11 @@ def _sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sizes = {int(r[0] > 0): r[1] for r in marked.groupBy(F.col("toxic") > 0).count().collect()}
     most = F.when(F.col("toxic") > 0, F.lit(int((1 << 20) * TOXIC / max(1, sizes.get(1, 0))))).otherwise(F.lit(int((1 << 20) * CLEAN / max(1, sizes.get(0, 0)))))
     chosen = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < most)
+    chosen = materialise(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")), "toxicity-chosen")
+    if chosen.count() <= 4 * (TOXIC + CLEAN):  # as the sample's bound has it: then no text moves
+        chosen = F.broadcast(chosen)
     rows = docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.join(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")), "doc_id")
+    found = rows.join(chosen, "doc_id")
     return materialise(found.groupBy(F.xxhash64("text").alias("key")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).drop("key"), "toxicity-sample")
 
 
