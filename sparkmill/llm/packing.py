@@ -44,8 +44,8 @@ def pieces(docs: DataFrame, tokenizer: tuple, end_id: int = 0, capacity: int = C
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             held = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(bpe.encode(text.as_py() or ""), np.uint32(end_id)).astype("<u4")
+            for doc, ids in zip(batch.column(0).to_pylist(), bpe.encode_all(batch.column(1).to_pylist()), strict=True):
+                ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for k, (start, n) in enumerate(cut(len(ids), capacity)):
                     raw = ids[start : start + n].tobytes()
                     row = (doc, k, start, n, zlib.crc32(raw), raw if keep_ids else None)

@@ -14,7 +14,7 @@ import zlib
 
 import numpy as np
 
-LANES, SEGMENT, MAGIC = 512, 512, b"RNS1"
+LANES, SEGMENT, MAGIC = 4096, 128, b"RNS1"
 _LOW = np.uint64(1 << 31)
 _WORD = np.uint64(32)
 
@@ -28,7 +28,6 @@ class Table:
         if int(self.freq.sum()) != 1 << self.bits or self.bits > 28:
             raise ValueError("frequencies must add up to a power of two of at most 2^28")
         self.start = np.concatenate([[0], np.cumsum(self.freq)[:-1]]).astype(np.uint64)
-        self.most = self.freq << np.uint64(63 - self.bits)
         self._symbol = None
 
     @property
@@ -39,10 +38,10 @@ class Table:
 
     @classmethod
     def of_counts(cls, counts: np.ndarray) -> Table:
-        counts = counts.astype(object)
         total, kinds = int(counts.sum()), int((counts > 0).sum())
         bits = min(28, max(12, kinds.bit_length() + 4))
-        freq = np.array([max(1, int(c) * (1 << bits) // total) if c else 0 for c in counts], np.int64)
+        wide = counts.astype(object) if total >> (62 - bits) else counts.astype(np.int64)  # no overflow
+        freq = np.where(counts > 0, np.maximum(wide * (1 << bits) // max(total, 1), 1), 0).astype(np.int64)
         over = int(freq.sum()) - (1 << bits)
         for i in np.argsort(-freq, kind="stable"):  # the largest bear the rounding
             if not over:
@@ -61,15 +60,18 @@ def encode(ids: np.ndarray, table: Table, lanes: int = LANES, segment: int = SEG
     words: list[np.ndarray] = []
     marks: list[tuple[int, np.ndarray]] = []
     bits = np.uint64(table.bits)
+    freq, start = table.freq[ids], table.start[ids]
+    most = freq << np.uint64(63 - table.bits)
     for t in range(steps - 1, -1, -1):
-        own = ids[t * lanes : (t + 1) * lanes]
-        x, f = state[: len(own)], table.freq[own]
-        full = x >= table.most[own]
+        own = slice(t * lanes, min(n, (t + 1) * lanes))
+        f = freq[own]
+        x = state[: len(f)]
+        full = x >= most[own]
         out = x[full]
         words.append((out & np.uint64(0xFFFFFFFF)).astype("<u4"))
         x[full] = out >> _WORD
         q = x // f
-        x[:] = (q << bits) + (x - q * f) + table.start[own]
+        x[:] = (q << bits) + (x - q * f) + start[own]
         if t % segment == 0:
             marks.append((t, state.astype("<u8")))
     words.reverse()
@@ -96,7 +98,7 @@ class Block:
         at = struct.calcsize("<4sIIII")
         self.index = [struct.unpack_from("<QI", data, at + 12 * k) for k in range(self.segments)]
         at += 12 * self.segments
-        self.states = np.frombuffer(data, "<u8", self.segments * self.lanes, at).reshape(self.segments, -1)
+        self.states = np.frombuffer(data, "<u8", self.segments * self.lanes, at).reshape(self.segments, self.lanes)
         at += 8 * self.segments * self.lanes
         self.words = np.frombuffer(data, "<u4", (len(data) - 4 - at) // 4, at)
 

@@ -2,10 +2,9 @@
 
 Ids of all documents, each with an end id, lie in ascending doc_id order in
 blocks of an asymmetric numeral system (see rans.py), all under one table of
-frequencies.  The table's counts cover the whole corpus: texts are cut at
-spaces, where pre-tokens always start anew, and within a task cuts of equal
-frequency are tokenised together, once.  Then the documents are sorted by range,
-tokenised and encoded by the tasks that write.
+frequencies.  Texts are sorted by range and tokenised once, into blocks under
+tables of their own that go to the shared folder; the counts of all blocks make
+the table of the corpus, and the blocks are encoded again under it.
 
 A file is a Parquet file whose rows are blocks, so that any store that Spark
 writes to will do and its commit protocol keeps the blocks of lost tasks out.  A
@@ -19,9 +18,7 @@ columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -30,81 +27,33 @@ from pyspark.sql import functions as F
 
 from .bytebpe import byte_bpe_50k, encoder
 from .rans import Block, Table, encode
-from .scratch import new_path, table
+from .scratch import materialise, new_path, table
 
-BLOCK_IDS, CUTS_HELD = 1 << 20, 500_000
-#: A space before white space or at the end: there a cut would not be a border.
-_ODD = re.compile(r" (?=\s|\Z)")
+BLOCK_IDS = 1 << 20
+_BLOCK = "part int, block long, before long, n_ids long, doc_id array<long>, length array<long>, data binary"
 
 
-def id_counts(docs: DataFrame, tokenizer: tuple, end_id: int, text_col: str) -> DataFrame:
-    """id and n over all documents with their end ids."""
-
-    def run(batches):
-        bpe, total, cuts = encoder(*tokenizer), np.zeros(0, np.int64), Counter()
-
-        def add(ids: np.ndarray, times: int) -> None:
-            nonlocal total
-            n = np.bincount(ids)
-            if len(n) > len(total):
-                total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-            total[: len(n)] += n * times
-
-        def flush() -> None:
-            alike = defaultdict(list)
-            for cut, n in cuts.items():
-                alike[n].append(cut)
-            for n, group in alike.items():
-                add(bpe.encode(" " + " ".join(group)), n)
-            cuts.clear()
-
-        for batch in batches:
-            firsts = []
-            for value in batch.column(0):
-                text = value.as_py() or ""
-                if _ODD.search(text) or any(s in text for s in bpe.special):
-                    add(bpe.encode(text), 1)
-                else:
-                    first, *rest = text.split(" ")
-                    firsts.append(first)
-                    cuts.update(rest)
-                    if len(cuts) > CUTS_HELD:
-                        flush()
-            for first in firsts:
-                add(bpe.encode(first), 1)
-            add(np.array([end_id]), batch.num_rows)
-        flush()
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found])], names=["id", "n"])
-
-    return docs.select(text_col).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
-def write(docs: DataFrame, path: str, tokenizer: tuple, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> None:
-    """Writes path/table (id, frequency: one row for each id of the vocabulary that occurs) and path/blocks."""
-    spark = docs.sparkSession
-    counts = id_counts(docs, tokenizer, end_id, text_col).collect()  # no more rows than the vocabulary has
-    by_id = np.zeros(max((r["id"] for r in counts), default=end_id) + 1, np.int64)
-    for r in counts:
-        by_id[r["id"]] = r["n"]
-    by_id[end_id] += not by_id.any()
-    freq = Table.of_counts(by_id).freq.astype(np.int64)
-    spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id int, frequency long").coalesce(1).write.parquet(f"{path}/table")
+def _tokenised(docs: DataFrame, tokenizer: tuple, end_id: int, id_col: str, text_col: str, block_ids: int) -> DataFrame:
+    """Blocks of sorted documents under tables of their own, with each block's ids and their counts."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        bpe, coder, part = encoder(*tokenizer), Table(freq), TaskContext.get().partitionId()
+        bpe, part = encoder(*tokenizer), TaskContext.get().partitionId()
         docs_, lengths, ids, held, before, made = [], [], [], 0, 0, 0
 
         def closed():
+            every = np.concatenate(ids)
+            counts = np.bincount(every)
+            kinds = np.flatnonzero(counts)
             return pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "block": pa.array([made], pa.int64()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([held], pa.int64()),
-                "doc_id": pa.array([docs_], pa.list_(pa.int64())), "length": pa.array([lengths], pa.list_(pa.int64())), "data": pa.array([encode(np.concatenate(ids), coder)], pa.binary())})
+                "doc_id": pa.array([docs_], pa.list_(pa.int64())), "length": pa.array([lengths], pa.list_(pa.int64())), "data": pa.array([encode(every, Table.of_counts(counts))], pa.binary()),
+                "kinds": pa.array([kinds], pa.list_(pa.int64())), "counts": pa.array([counts[kinds]], pa.list_(pa.int64()))})
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own = np.append(bpe.encode(text.as_py() or ""), np.uint32(end_id))
+            for doc, own in zip(batch.column(0).to_pylist(), bpe.encode_all(batch.column(1).to_pylist()), strict=True):
+                own = np.append(own, np.uint32(end_id))
                 docs_.append(doc)
                 lengths.append(len(own))
                 ids.append(own)
@@ -117,8 +66,33 @@ def write(docs: DataFrame, path: str, tokenizer: tuple, end_id: int = 0, id_col:
             yield closed()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "part int, block long, before long, n_ids long, doc_id array<long>, length array<long>, data binary"
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, schema).write.option("compression", "none").parquet(f"{path}/blocks")
+    made = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, f"{_BLOCK}, kinds array<long>, counts array<long>")
+    return materialise(made, "tokenised")
+
+
+def _by_id(ids, counts, size: int = 0) -> np.ndarray:
+    out = np.zeros(max(size, int(max(ids, default=-1)) + 1), np.int64)
+    out[np.asarray(ids, np.int64)] = counts
+    return out
+
+
+def write(docs: DataFrame, path: str, tokenizer: tuple, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block_ids: int = BLOCK_IDS) -> None:
+    """Writes path/table (id, frequency: one row for each id of the vocabulary that occurs) and path/blocks."""
+    spark = docs.sparkSession
+    made = _tokenised(docs, tokenizer, end_id, id_col, text_col, block_ids)
+    each = made.select(F.inline(F.arrays_zip("kinds", "counts"))).groupBy("kinds").agg(F.sum("counts"))
+    counts = dict(map(tuple, each.collect())) or {end_id: 1}  # no more rows than the vocabulary has
+    freq = Table.of_counts(_by_id(list(counts), list(counts.values()))).freq.astype(np.int64)
+    spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id int, frequency long").coalesce(1).write.parquet(f"{path}/table")
+
+    def run(batches):
+        shared = Table(freq)
+        for batch in batches:
+            data = [encode(Block(d.as_py()).all(Table.of_counts(_by_id(k.as_py(), c.as_py()))), shared) for d, k, c in zip(batch.column("data"), batch.column("kinds"), batch.column("counts"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("part", "block", "before", "n_ids", "doc_id", "length")), pa.array(data, pa.binary())],
+                                             names=["part", "block", "before", "n_ids", "doc_id", "length", "data"])
+
+    made.mapInArrow(run, _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFrame:
