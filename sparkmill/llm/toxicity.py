@@ -5,15 +5,20 @@ beginnings) that the training labels single out: a greedy cover of the toxic
 documents by terms that clean documents lack.  Lexicon terms form a trie; the
 Levenshtein automaton of a word runs against all of the trie at once, as sets of
 (trie node, edits so far) whose transitions are remembered, so most words die
-after two or three letters.  Terms of 5 letters or more may be misspelled in one
-place, of 9 or more in two; word beginnings are matched exactly.  Words that are
-near a term but occur in clean training documents are no misspellings.
+after two or three letters.  Terms and word beginnings of 4 letters or more may be
+misspelled in one place, of 9 or more in two; two neighbours that change places
+are one place.  Words that are near a term but occur in clean training documents
+are no misspellings.
 
 Around each hit a window of words is looked at: quotation marks around the hit
 or words of report near it make it a quotation, which counts little.  A
 logistic score has log odds of its own for texts with no hit, quotations only,
-one or several misspelled terms, and plain terms, trained in numpy from a prior
-that labels move.
+one or several misspelled terms (apart for distinct terms, which clean texts are
+hardly ever near to, and others), and plain terms, trained in numpy from a prior
+that labels move.  Labelled texts with typing errors are rare, so each toxic
+training text counts again with one of its terms misspelled (a distinct one also
+twice) and its other hits left out; a clean training text is held against the words of the other texts, so
+that its own words do not excuse it.
 
 The sample holds at most about TOXIC toxic and CLEAN clean labelled documents,
 chosen by a hash of the id, whole texts.  Labels are read outside the held-out
@@ -26,6 +31,7 @@ an empty result.  Extra columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +43,8 @@ from .scratch import materialise, table
 TOXIC, CLEAN, FOLDS, HELD, THRESHOLD = 3000, 6000, 3, 1, 0.7
 #: Terms each toxic document should have, least support of a term, most clean documents among those with it, terms at most.
 COVER, LEAST, IMPURE, TERMS = 3, 4, 0.005, 500
+#: A distinct term: toxic texts that have it, at least, and as many more for each clean text with a word near it that no other text excuses. General insults start with the least.
+DISTINCT, FALSE = 10, 30
 BEGINNINGS, WINDOW, CACHE = (4, 5, 6, 7), 6, 200_000
 
 # General insults, and words of report, in four languages.
@@ -49,15 +57,20 @@ SIGNS = str.maketrans("013457@$", "oieastas")
 
 
 class Lexicon:
-    """Terms as a trie; a term that ends in * is a word beginning."""
+    """Terms as a trie; a term that ends in * is a word beginning.
 
-    def __init__(self, terms):
+    loose: two neighbours that change places are one edit, and terms of 4 letters
+    and beginnings may have edits too.
+    """
+
+    def __init__(self, terms, loose: bool = False):
+        self.loose = loose
         self.children: list[dict[str, int]] = [{}]
         self.ends: list[str | None] = [None]
         self.edits = [0]  # most edits that a term below may have
         for term in sorted(terms):
             begins, word = term.endswith("*"), term.rstrip("*")
-            node, most = 0, 0 if begins else self.allowed(word)
+            node, most = 0, self.most(term)
             self.edits[0] = max(self.edits[0], most)
             for letter in word:
                 if letter not in self.children[node]:
@@ -71,14 +84,21 @@ class Lexicon:
                 self.ends[node] = term
         self.start = self._closed({0: 0})
         self.moves: dict = {}
+        self.begun: dict = {}
 
     @staticmethod
     def allowed(word: str) -> int:
         return 0 if len(word) < 5 else 1 if len(word) < 9 else 2
 
-    def _closed(self, state: dict[int, int]) -> frozenset:
+    def most(self, term: str) -> int:
+        """The most edits that a term may have here."""
+        if self.loose:
+            return max(self.allowed(term.rstrip("*")), int(len(term.rstrip("*")) >= 4))
+        return 0 if term[-1] == "*" else self.allowed(term)
+
+    def _closed(self, state: dict) -> frozenset:
         """With letters of the term left out."""
-        todo = list(state.items())
+        todo = [x for x in state.items() if type(x[0]) is int]
         while todo:
             node, e = todo.pop()
             for child in self.children[node].values():
@@ -88,9 +108,15 @@ class Lexicon:
         return frozenset(state.items())
 
     def _step(self, state: frozenset, letter: str) -> frozenset:
-        out: dict[int, int] = {}
+        out: dict = {}
         for node, e in state:
+            if type(node) is tuple:  # behind two changed places, if this letter is the first of them
+                if node[1] == letter:
+                    out[node[0]] = min(e, out.get(node[0], 99))
+                continue
             for own, child in self.children[node].items():
+                if self.loose and own != letter and (both := self.children[child].get(letter)) is not None and e + 1 <= self.edits[both]:
+                    out[both, own] = min(e + 1, out.get((both, own), 99))
                 cost = e + (own != letter)
                 if cost <= self.edits[child] or cost == e:
                     out[child] = min(cost, out.get(child, 99))
@@ -110,13 +136,23 @@ class Lexicon:
             if not to:
                 break
             state = to
-            if begun is None:
-                begun = next((self.ends[n] for n, e in state if e == 0 and self.ends[n] and self.ends[n][-1] == "*"), None)
+            if begun is None or begun[0]:
+                near = self.begun.get(state, 0)
+                if near == 0:
+                    if len(self.begun) > CACHE:
+                        self.begun.clear()
+                    near = self.begun[state] = self._ended(state, True)
+                if near and (begun is None or near < begun):
+                    begun = near
         else:
-            best = min(((e, self.ends[n]) for n, e in state if self.ends[n] and self.ends[n][-1] != "*" and e <= self.allowed(self.ends[n])), default=None)
-            if best and (best[0] == 0 or begun is None):
+            best = self._ended(state, False)
+            if best and (begun is None or best[0] == 0 or best[0] <= begun[0] > 0):
                 return best[1], best[0]
-        return (begun, 0) if begun else None
+        return (begun[1], begun[0]) if begun else None
+
+    def _ended(self, state: frozenset, begins: bool) -> tuple[int, str] | None:
+        """The nearest word beginning, or else whole term, that ends here."""
+        return min(((e, t) for n, e in state if type(n) is int and (t := self.ends[n]) and (t[-1] == "*") == begins and e <= self.most(t)), default=None)
 
 
 class Finder:
@@ -162,19 +198,63 @@ class Finder:
         return opened and closed or any(t.strip(EDGE) in REPORT for t in before[-3:])
 
 
-#: Log odds of a text with no hit, quotations only, one misspelled term, several, a plain term; and for each further plain hit.
-_PRIOR = np.array([-4.0, -2.5, -1.0, 2.0, 3.0, 0.5])
+#: Log odds of a text with no hit, quotations only, one misspelled term that is not distinct, several of those, one misspelled distinct term, several of those, a plain term; and for each further plain hit.
+_PRIOR = np.array([-4.0, -2.5, -2.0, -1.0, 0.0, 2.0, 3.0, 0.5])
 
 
-def features(hits: list) -> np.ndarray:
+def features(hits: list, distinct: frozenset) -> np.ndarray:
     plain = sum(1 for h in hits if h[2] == 0 and not h[3])
-    wrong = len({h[4] for h in hits if h[2] and not h[3]})
-    kind = 4 if plain else 3 if wrong > 1 else 2 if wrong else 1 if hits else 0
+    wrong = [h[1] for h in hits if h[2] and not h[3]]
+    sure = sum(t in distinct for t in wrong)
+    kind = 6 if plain else 3 + min(sure, 2) if sure else 2 + (len(wrong) > 1) if wrong else 1 if hits else 0
     out = np.zeros(len(_PRIOR))
-    out[kind], out[5] = 1, min(max(plain - 1, 0), 4)
+    out[kind], out[7] = 1, min(max(plain - 1, 0), 4)
     return out
 
 
+def misspelled(word: str, draw: int) -> str:
+    """The word with one typing error: neighbours changed, a letter left out, doubled or another one."""
+    draw, at = divmod(draw, max(1, len(word) - 1))
+    draw, kind = divmod(draw, 4)
+    a, b = word[at : at + 1], word[at + 1 : at + 2]
+    return word[:at] + (b + a, b, a + a + b, chr(97 + draw % 26) + b)[kind] + word[at + 2 :]
+
+
+def calibration(rows: list, lexicon: Lexicon) -> tuple[frozenset, frozenset, np.ndarray, np.ndarray]:
+    """Innocent words, distinct terms, features and labels from (toxic, hits) of the sample.
+
+    Each text is held against what the other texts say of its words.
+    """
+    seen, texts, false = {0: Counter(), 1: Counter()}, Counter(), Counter()
+    for y, hits in rows:
+        seen[y].update({h[4] for h in hits if h[2]})
+    innocent = frozenset(w for w, n in seen[0].items() if n >= seen[1][w])
+    held = []
+    for y, hits in rows:
+        others = {h[4]: seen[0][h[4]] - (1 - y) for h in hits if h[2]}
+        held.append((y, [h for h in hits if not h[2] or others[h[4]] < max(1, seen[1][h[4]] - y)]))
+        if y:
+            texts.update({h[1] for h in hits if h[2] == 0})
+        else:
+            false.update({h[1] for h in held[-1][1] if h[2]})
+    texts.update({t: DISTINCT for t in INSULTS})
+    distinct = frozenset(t for t, n in texts.items() if DISTINCT + FALSE * false[t] <= n)
+    x, labels = [], []
+    for y, hits in held:
+        x.append(features(hits, distinct))
+        labels.append(y)
+        plain = [h for h in hits if h[2] == 0 and not h[3]]
+        if y and plain:
+            word = plain[crc32("".join(h[4] for h in plain).encode()) % len(plain)][4]
+            wrong = misspelled(word, crc32(f"{len(plain)} {word}".encode()))
+            hit = lexicon.find(wrong)
+            if hit and hit[1] and wrong not in innocent:
+                for n in (1, 2) if hit[0] in distinct else (1,):  # a doubtful word is as doubtful twice
+                    x.append(features([(0, *hit, False, wrong)] * n, distinct))
+                    labels.append(1)
+    return innocent, distinct, np.stack(x) if x else np.empty((0, len(_PRIOR))), np.array(labels, float)
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray = _PRIOR, strength: float = 1.0, rounds: int = 50) -> np.ndarray:
     """Weights of largest posterior chance under a normal prior, by Newton's steps."""
     w = prior.copy()
@@ -219,14 +299,14 @@ def covering(toxic: list[set[str]], candidates: dict[str, float]) -> list[str]:
 
 
 class Scorer:
-    def __init__(self, terms: list[str], innocent: frozenset, weights: np.ndarray):
-        self.terms, self.innocent, self.weights = terms, innocent, weights
+    def __init__(self, terms: list[str], innocent: frozenset, distinct: frozenset, weights: np.ndarray):
+        self.terms, self.innocent, self.distinct, self.weights = terms, innocent, distinct, weights
 
     def ready(self) -> Finder:
-        return Finder(Lexicon(self.terms), self.innocent)
+        return Finder(Lexicon(self.terms, loose=True), self.innocent)
 
     def score(self, hits: list) -> float:
-        return float(1 / (1 + np.exp(-(features(hits) @ self.weights))))
+        return float(1 / (1 + np.exp(-(features(hits, self.distinct) @ self.weights))))
 
 
 def _sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -246,7 +326,7 @@ def _sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
-    """Lexicon, innocent neighbours and weights from the labelled rows outside the held-out fold."""
+    """Lexicon, innocent neighbours, distinct terms and weights from the labelled rows outside the held-out fold."""
     sample = _sampled(docs, labels)
 
     def terms(batches):
@@ -271,19 +351,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     lexicon = sorted(set(covering([set(r[0]) for r in bad], candidates)) | set(INSULTS))
 
     def look(batches):
-        finder = Finder(Lexicon(lexicon))
+        finder = Finder(Lexicon(lexicon, loose=True))
         for batch in batches:
             hits = [finder.hits(t.as_py()) for t in batch.column(1)]
             flat = [[f"{h[1]}\t{h[2]}\t{int(h[3])}\t{h[4]}" for h in x] for x in hits]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(flat, pa.list_(pa.string()))], names=["toxic", "hits"])
 
     rows = [(r[0], [(0, t, int(d), q == "1", w) for t, d, q, w in (h.split("\t") for h in r[1])]) for r in sample.select("toxic", "text").mapInArrow(look, "toxic int, hits array<string>").collect()]
-    seen = {0: Counter(), 1: Counter()}
-    for y, hits in rows:
-        seen[y].update({h[4] for h in hits if h[2]})
-    innocent = frozenset(w for w, n in seen[0].items() if n >= seen[1][w])
-    x = np.stack([features([h for h in hits if h[4] not in innocent or not h[2]]) for _, hits in rows]) if rows else np.empty((0, len(_PRIOR)))
-    return Scorer(lexicon, innocent, fit_logistic(x, np.array([y for y, _ in rows], float)))
+    innocent, distinct, x, y = calibration(rows, Lexicon(lexicon, loose=True))
+    return Scorer(lexicon, innocent, distinct, fit_logistic(x, y))
 
 
 def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> DataFrame:

@@ -111,6 +111,51 @@ def test_toxicity(abuse):
     assert toxicity.accepted(docs, scorer).count() == 350
 
 
+def test_one_typing_error_is_enough(spark, abuse):
+    docs, labels = abuse
+    wrong = ["idoit", "idiiot", "idot", "iidot", "gurbzap", "grbmo", "loser", "stuipd", "lsoer", "scmu", "scm"]
+    clean = [speech("aa", k) for k in range(1000, 1100)]
+    rows = [(k, f"{speech('aa', 2000 + k)} {w} {speech('aa', 3000 + k)}") for k, w in enumerate(wrong)] + [(100 + k, t) for k, t in enumerate(clean)]
+    scorer = toxicity.fit(docs, labels)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), scorer).collect()}
+    assert [got[k] for k in range(len(wrong))] == [1] * len(wrong)
+    assert sum(got[100 + k] for k in range(100)) == 0
+    finder = scorer.ready()
+    once, often = (scorer.score(finder.hits(" ".join(["idoit"] * n))) for n in (1, 50))
+    assert 0.7 <= once <= often
+
+
+def test_misspelled_terms_that_clean_texts_are_near_to_stay_doubtful():
+    hit = lambda term, word: (0, term, int(term != word), False, word)
+    rows = [(1, [hit("grubka", "grubka")])] * 40 + [(0, [hit("grubka", f"grubk{c}")]) for c in "bcdefghij"] + [(0, [])] * 100
+    innocent, distinct, x, y = toxicity.calibration(rows, toxicity.Lexicon(["grubka"], loose=True))
+    assert len(innocent) == 9 and "grubka" not in distinct
+    assert x[y == 0][:9, 2].all()
+    _, distinct, _, _ = toxicity.calibration(rows[:40] + rows[49:], toxicity.Lexicon(["grubka"], loose=True))
+    assert "grubka" in distinct
+
+
+def test_loose_lexicon_counts_changed_neighbours_once():
+    rng, terms = random.Random(3), ["abcab", "bcabcabca", "ccaab", "acbb", "cabca*"]
+    lexicon = toxicity.Lexicon(terms, loose=True)
+
+    def edits(a, b):
+        d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i in range(1, len(a) + 1):
+            for j in range(1, len(b) + 1):
+                d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+                if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                    d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+        return d[-1][-1]
+
+    for _ in range(3000):
+        word = "".join(rng.choices("abc", k=rng.randint(1, 11)))
+        near = [min(edits(word[:n], t[:-1]) for n in range(len(word) + 1)) if t[-1] == "*" else edits(word, t) for t in terms]
+        want = min((e for e, t in zip(near, terms, strict=True) if e <= lexicon.most(t)), default=None)
+        found = lexicon.find(word)
+        assert (found and found[1]) == want
+
+
 def test_toxicity_of_odd_tables(spark, abuse, odd, none):
     docs, labels = abuse
     scorer = toxicity.fit(docs, labels.limit(0))
