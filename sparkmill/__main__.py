@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import SparkSession
 
 from .plans import entries
-from .sources.sinks import write_csv, write_json
+from .sources.sinks import write_csv
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -29,7 +29,7 @@ def main(arguments: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("sparkmill").getOrCreate()
     if given.command == "audit":
         found = entries.audit(spark, given.data_dir)
-        write_json(found.report, given.output)
+        entries.write_audit(found, given.output)
         found.report.show(truncate=False)
         found.warnings.show(truncate=False)
         if given.manifest_output:

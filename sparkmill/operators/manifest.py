@@ -23,6 +23,12 @@ def class_counts(files: DataFrame, split: str = "split", label: str = "label") -
     return files.where(F.col(label).isNotNull() & ~F.col(label).isin("", UNKNOWN)).groupBy(F.col(split).alias("split"), F.col(label).alias("label")).agg(F.count("*").alias("n_files"))
 
 
+def split_counts(files: DataFrame, split: str = "split", label: str = "label") -> DataFrame:
+    """class_counts() and, for each split that has files without class, a row without label that counts none."""
+    named = F.when(~F.col(label).isin("", UNKNOWN), F.col(label))
+    return files.groupBy(F.col(split).alias("split"), named.alias("label")).agg(F.count(named).alias("n_files"))
+
+
 def unreadable(files: DataFrame, readable: Column, split: str, path: str) -> DataFrame:
     """split and path of every file that cannot be read: one row each, however many there are."""
     return files.where(~F.coalesce(readable, F.lit(False))).select(F.col(split).alias("split"), F.col(path).alias("filepath"))
@@ -50,12 +56,12 @@ def conflicting_digests(rows: DataFrame, label: str = "label", sha256: str = "sh
 
 
 def class_sets(counts: DataFrame) -> DataFrame:
-    """The sorted classes of each split, from class_counts()."""
+    """The sorted classes of each split, from class_counts(); from split_counts() splits without classes have none."""
     return counts.groupBy("split").agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("classes"), F.count("label").alias("n_classes"), F.sum("n_files").alias("n_files"))
 
 
 def warnings(counts: DataFrame, spread: DataFrame) -> DataFrame:
-    """One row for each warning of an audit."""
+    """One row for each warning of an audit; counts as in class_sets()."""
     sets = class_sets(counts)
     odd = sets.where("n_classes <> 2").select(F.concat("split", F.lit(": expected two classes but found ["), "classes", F.lit("]")).alias("warning"))
     kinds = sets.agg(F.count_distinct("classes").alias("n")).where("n > 1").select(F.lit("class folders differ between splits").alias("warning"))
@@ -64,11 +70,11 @@ def warnings(counts: DataFrame, spread: DataFrame) -> DataFrame:
 
 
 def report(counts: DataFrame, unread: DataFrame) -> DataFrame:
-    """split and report: each split's classes, counts and number of unreadable files as JSON."""
-    lost = unread.groupBy("split").agg(F.count("*").alias("unreadable"))
-    by_split = counts.groupBy("split").agg(F.array_sort(F.collect_list(F.struct("label", "n_files"))).alias("c"))
+    """split and report: each split's classes, counts and number of unreadable files as JSON; counts as in class_sets()."""
+    lost = unread.groupBy(F.col("split").alias("_split")).agg(F.count("*").alias("unreadable"))
+    by_split = counts.groupBy("split").agg(F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "n_files")))).alias("c"))
     body = F.struct(F.col("split"), F.col("c.label").alias("classes"), F.map_from_arrays("c.label", "c.n_files").alias("class_counts"), F.coalesce("unreadable", F.lit(0)).alias("unreadable_images"))
-    return by_split.join(lost, "split", "left").select("split", F.to_json(body).alias("report"))
+    return by_split.join(lost, F.col("split").eqNullSafe(F.col("_split")), "left").select("split", F.to_json(body).alias("report"))
 
 
 def layout_errors(counts: DataFrame, splits: tuple[str, ...], classes: tuple[str, ...]) -> list[str]:

@@ -88,16 +88,16 @@ def q05b_conflicting_labels(spark, sf_dir):
 
 def q06_warnings(spark, sf_dir):
     files = _files(spark, sf_dir)
-    return audit.warnings(audit.class_counts(files), audit.spread_digests(files))
+    return audit.warnings(audit.split_counts(files), audit.spread_digests(files))
 
 
 def q06b_class_sets(spark, sf_dir):
-    return audit.class_sets(audit.class_counts(_files(spark, sf_dir)))
+    return audit.class_sets(audit.split_counts(_files(spark, sf_dir)))
 
 
 def q07_report(spark, sf_dir):
     files = _files(spark, sf_dir)
-    return audit.report(audit.class_counts(files), audit.unreadable(files, F.col("sha256").isNotNull(), "split", "sha256"))
+    return audit.report(audit.split_counts(files), audit.unreadable(files, F.col("sha256").isNotNull(), "split", "sha256"))
 
 
 def q08_stratified_split(spark, sf_dir):

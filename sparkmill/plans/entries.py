@@ -24,7 +24,7 @@ def readable_files(spark: SparkSession, root: str) -> DataFrame:
 
 @dataclass
 class Audit:
-    """Counts hold all files, the manifest the readable ones."""
+    """Counts hold all files with a class, the manifest the readable ones, the report every split."""
 
     manifest: DataFrame
     counts: DataFrame
@@ -40,8 +40,15 @@ def audit(spark: SparkSession, root: str) -> Audit:
     files.require_one_folder_each(found)
     rows = manifest.manifest(found.where("readable"), F.col("path"), F.col("split"), F.col("label"), F.col("content"))
     counts, lost = manifest.class_counts(found), manifest.unreadable(found, F.col("readable"), "split", "path")
-    spread = manifest.spread_digests(rows)
-    return Audit(rows, counts, lost, manifest.spread_files(rows), manifest.warnings(counts, spread), manifest.report(counts, lost))
+    spread, every = manifest.spread_digests(rows), manifest.split_counts(found)
+    return Audit(rows, counts, lost, manifest.spread_files(rows), manifest.warnings(every, spread), manifest.report(every, lost))
+
+
+def write_audit(found: Audit, out: str) -> None:
+    """Writes the report on splits with classes to out; beside it, in out-tables, the report on every split, duplicates, warnings and unreadable paths."""
+    write_json(found.report.where(F.get_json_object("report", "$.classes[0]").isNotNull()), out)
+    for name in ("report", "duplicates", "warnings", "unreadable"):
+        write_json(getattr(found, name), f"{out.rstrip('/')}-tables/{name}")
 
 
 def pool(spark: SparkSession, root: str) -> DataFrame:

@@ -57,6 +57,26 @@ def test_scan_and_audit(spark, tree):
     assert report["train"] == {"split": "train", "classes": ["Normal", "Pothole"], "class_counts": {"Normal": 2, "Pothole": 2}, "unreadable_images": 0}
 
 
+def test_splits_without_classes_are_audited(spark, tree, tmp_path):
+    from sparkmill.__main__ import main
+
+    rows = spark.createDataFrame([("a", "x", True), ("a", "y", True), ("b", None, False), ("b", "", True), ("b", "unknown", False), (None, None, False)], "split string, label string, ok boolean")
+    counts = manifest.split_counts(rows)
+    assert {r["split"]: (r["classes"], r["n_classes"], r["n_files"]) for r in manifest.class_sets(counts).collect()} == {"a": ("x,y", 2, 2), "b": ("", 0, 0), None: ("", 0, 0)}
+    lost = manifest.unreadable(rows.withColumn("path", F.lit("p")), F.col("ok"), "split", "path")
+    report = {r["split"]: json.loads(r["report"]) for r in manifest.report(counts, lost).collect()}
+    assert report["b"] == {"split": "b", "classes": [], "class_counts": {}, "unreadable_images": 2} and report[None]["unreadable_images"] == 1
+    none = spark.createDataFrame([], "sha256 string")
+    found = {r["warning"] for r in manifest.warnings(manifest.split_counts(rows.where("split is not null")), none).collect()}
+    assert found == {"b: expected two classes but found []", "class folders differ between splits"}
+
+    main(["audit", "--data-dir", tree, "--output", str(tmp_path / "report")])
+    table = lambda name: spark.read.json(str(tmp_path / f"report-tables/{name}")).collect()
+    assert {r["split"]: json.loads(r["report"])["classes"] for r in table("report")} == {"train": ["Normal", "Pothole"], "val": ["Normal", "Pothole"], "test": []}
+    assert "test: expected two classes but found []" in {r["warning"] for r in table("warnings")}
+    assert [r["filepath"].rsplit("/", 1)[1] for r in table("unreadable")] == ["c.jpg"] and len(table("duplicates")) == 6
+
+
 def test_folder_rules(spark):
     rows = spark.createDataFrame([("train",), ("val",), ("validation",), ("test",)], ["folder"])
     with pytest.raises(ValueError, match="val"):
