@@ -10,8 +10,10 @@ misspelled in one place, of 9 or more in two; two neighbours that change places
 are one place.  Words that are near a term but occur in clean training documents
 are no misspellings.
 
-Around each hit a window of words is looked at: quotation marks around the hit
-or words of report near it make it a quotation, which counts little.  A
+Around each hit a window of words is looked at: a pair of quotation marks around
+the hit or words of report near it make it a quotation, which counts little.
+Marks before a word open, marks behind it close what the like mark opened last,
+marks within words are apostrophes.  A
 logistic score has log odds of its own for texts with no hit, quotations only,
 one or several misspelled terms (apart for distinct terms, which clean texts are
 hardly ever near to, and others), and plain terms, trained in numpy from a prior
@@ -30,7 +32,9 @@ an empty result.  Extra columns are ignored.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
+from itertools import islice
 from zlib import crc32
 
 import numpy as np
@@ -51,6 +55,8 @@ BEGINNINGS, WINDOW, CACHE = (4, 5, 6, 7), 6, 200_000
 INSULTS = ("bastard", "clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 REPORT = frozenset("said says wrote writes called quoted quotes quote word term dit écrit mot sagte schrieb wort dijo escribió palabra".split())
 QUOTES = "\"'“”‘’«»„‹›"
+#: The marks that close what each one opens; one that stands alone closes if it can.
+CLOSING = {'"': '"', "'": "'", "“": "”", "”": "”", "‘": "’", "’": "’", "«": "»", "»": "«", "„": "“”", "‹": "›", "›": "‹"}
 EDGE = ".,;:!?()[]{}*#$%&|~^_=+<>/\\-…" + QUOTES
 # Digits and signs that stand for letters.
 SIGNS = str.maketrans("013457@$", "oieastas")
@@ -178,24 +184,56 @@ class Finder:
 
     def hits(self, text: str | None) -> list[tuple[int, str, int, bool, str]]:
         tokens = (text or "").lower().split()
-        get, miss, found = self.known.get, self._of, []
+        get, miss, found, pairs = self.known.get, self._of, [], None
         for k, token in enumerate(tokens):
             hit = get(token, 0)
             if hit == 0:
                 hit = miss(token)
             if hit:
-                found.append((k, hit[0], hit[1], self._quoted(tokens, k), hit[2]))
+                pairs = self._pairs(tokens) if pairs is None else pairs
+                found.append((k, hit[0], hit[1], self._quoted(tokens, k, pairs), hit[2]))
         return found
 
     @staticmethod
-    def _quoted(tokens: list[str], at: int) -> bool:
-        before, after = tokens[max(0, at - WINDOW) : at], tokens[at + 1 : at + 1 + WINDOW]
-        own = tokens[at]
-        core = own.strip(EDGE)
-        left, right = own.partition(core)[0], own.partition(core)[2]
-        opened = any(q in left for q in QUOTES) or any(t[0] in QUOTES for t in before)
-        closed = any(q in right for q in QUOTES) or any(any(q in t[-3:] for q in QUOTES) for t in after)
-        return opened and closed or any(t.strip(EDGE) in REPORT for t in before[-3:])
+    def _pairs(tokens: list[str]) -> list[tuple[int, int]]:
+        """First and last word of each quotation of at most 2 WINDOW + 1 words, by last word."""
+        pairs, opened = [], {}  # opened: closing mark to the place of its opening one
+
+        def close(mark: str, at: int) -> bool:
+            start = opened.pop(mark, None)
+            if start is None:
+                return False
+            for m in [m for m, x in opened.items() if x == start and mark in "“”" and m in "“”"]:
+                del opened[m]  # the other mark that could have closed it
+            if at - start <= 2 * WINDOW:
+                pairs.append((start, at))
+            return True
+
+        for k, token in enumerate(tokens):
+            if not any(q in token for q in QUOTES):
+                continue
+            core = token.strip(EDGE)
+            left, _, right = token.partition(core) if core else ("", "", "")
+            for mark in left:
+                for end in CLOSING.get(mark, ""):
+                    opened[end] = k
+            for mark in right:
+                close(mark, k)
+            for mark in "" if core else token:
+                if mark in CLOSING and not close(mark, k):
+                    for end in CLOSING[mark]:
+                        opened[end] = k
+        return pairs
+
+    @staticmethod
+    def _quoted(tokens: list[str], at: int, pairs: list[tuple[int, int]]) -> bool:
+        first = bisect_left(pairs, (at,), key=lambda x: (x[1],))
+        for start, end in islice(pairs, first, None):
+            if end > at + WINDOW:
+                break
+            if at - WINDOW <= start <= at:
+                return True
+        return any(t.strip(EDGE) in REPORT for t in tokens[max(0, at - 3) : at])
 
 
 #: Log odds of a text with no hit, quotations only, one misspelled term that is not distinct, several of those, one misspelled distinct term, several of those, a plain term; and for each further plain hit.

@@ -69,6 +69,24 @@ def test_lexicon(text, term, distance, quoted):
     assert [(h[1], h[2], h[3]) for h in hits] == [(term, distance, quoted)]
 
 
+@pytest.mark.parametrize(("text", "quoted"), [
+    ('he "agreed" then you idiot, don\'t come back', False), ("it's you idiot, don't come", False), ('"yes" you idiot "no"', False), ('yes" you idiot "no', False),
+    ("'tis you idiot and don't", False), ('the 6" idiot', False), ("‘agreed’ you idiot, it’s over", False), ("“so” idiot ”", False), ("«oui» idiot, l’heure", False),
+    ('"you are an idiot"', True), ("'you idiot'", True), ("“what an idiot,” he", True), ("„du idiot“ und", True), ("« un idiot »", True), ("»idiot«", True), ("‘don’t be an idiot’", True),
+    ('"he isn\'t an idiot", they', True), ('( "idiot" )', True), ('" an idiot "', True), ('"no, „du idiot“ then"', True), ("‹ idiot ›", True)])
+def test_quotation_marks_are_paired(text, quoted):
+    hits = toxicity.Finder(toxicity.Lexicon(["idiot"])).hits(text)
+    assert [(h[1], h[3]) for h in hits] == [("idiot", quoted)]
+
+
+def test_abuse_beside_a_quotation_is_abuse(abuse):
+    docs, labels = abuse
+    scorer = toxicity.fit(docs, labels.limit(0))
+    finder = scorer.ready()
+    beside, within = (scorer.score(finder.hits(t)) for t in ('he "agreed" then you idiot, don\'t come back', 'he "agreed, you idiot" then'))
+    assert within < toxicity.THRESHOLD <= beside
+
+
 def test_automaton_is_edit_distance():
     def edits(a, b):
         row = list(range(len(b) + 1))
