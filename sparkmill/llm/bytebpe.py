@@ -19,6 +19,14 @@ _PLAIN = re.compile(r"[\x00-ɏ]*\Z")
 #: A space before white space: there a cut would not be a border.
 _ODD = tuple(" " + c for c in " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0")
 AT_ONCE = 16 << 20
+#: White space of this length or more fills such a window of the text; the fast way's pattern runs out of stack on a million.
+RUN = 10_000
+
+
+def _long_run(text: str) -> bool:
+    """Whether white space may stand RUN characters long: some aligned half of it is then nothing else."""
+    half = RUN // 2
+    return len(text) >= half and any(text[k : k + half].isspace() for k in range(0, len(text), half))
 
 
 class _Numbers(dict):
@@ -31,7 +39,8 @@ class Encoder:
     """encode(text) -> uint32 ids, equal to those of the tokenizers library.
 
     With ``ranks`` and ``pattern`` (the same vocabulary for tiktoken) plain texts
-    take that faster way; texts with special strings or rare letters do not.
+    take that faster way; texts with special strings, rare letters or very long
+    white space do not.
     """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
@@ -52,7 +61,7 @@ class Encoder:
             self.spaced[[i for b, i in table.items() if b[:1] == b" "]] = True
 
     def _is_plain(self, text: str) -> bool:
-        return self.fast is not None and (text.isascii() or bool(_PLAIN.match(text))) and not any(s in text for s in self.special)
+        return self.fast is not None and (text.isascii() or bool(_PLAIN.match(text))) and not any(s in text for s in self.special) and not _long_run(text)
 
     def encode(self, text: str) -> np.ndarray:
         ids = self.fast.encode_ordinary(text) if self._is_plain(text) else self.library.encode(text, add_special_tokens=False).ids
