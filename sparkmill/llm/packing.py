@@ -2,11 +2,12 @@
 
 Texts become ids, an end id is appended, and only documents longer than a
 sequence are cut: the shorter rest comes first, so all later pieces are full
-and need no search.  Pieces are dealt by hash into groups of about
-``group_size``; each group is packed by a bounded-space online best-fit over a
-stream of falling lengths.  Open bins hang in lists by free space, and a bitset
-of the spaces that occur gives the tightest bin by one shift and one bit scan.
-When more than ``open_bins`` are open, the fullest closes.
+and need no search.  Pieces are dealt by a hash of their row number, which no key
+can make hot, into groups of about ``group_size``.  Each group is packed by a
+bounded-space online best-fit: pieces come in the order of their rows and are
+placed at once.  Open bins hang in lists by free space, and a bitset of the
+spaces that occur gives the tightest bin by one shift and one bit scan.  When
+more than ``open_bins`` are open, the fullest closes.
 
 Nulls and empty texts: the end id alone, one piece of length 1.  A null doc_id
 is a document like any other.  Repeated rows are packed as often as they occur.
@@ -24,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytebpe import byte_bpe_50k, encoder
-from .scratch import materialise, table
+from .scratch import materialise, table, unused
 
-CAPACITY, GROUP_SIZE, OPEN_BINS = 2048, 16_384, 32_768
+CAPACITY, GROUP_SIZE, OPEN_BINS = 2048, 16_384, 512
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -105,18 +106,20 @@ class BestFit:
 def best_fit(parts: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZE, open_bins: int = OPEN_BINS) -> DataFrame:
     """Adds sequence_id and offset to rows of doc_id, piece, length and whatever else they carry.
 
-    parts is counted once to set the number of groups: give it materialised.
+    parts is counted once to set the number of groups: give it materialised, so
+    that a row has its number again if a task is repeated.
     """
     groups = max(1, math.ceil(parts.count() / group_size))
-    dealt = parts.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(groups)).cast("int"))
-    dealt = dealt.repartition(groups, "_group").sortWithinPartitions("_group", F.desc("length"), "doc_id", "piece")
+    row, own = unused(parts, "_row"), unused(parts, "_group")
+    dealt = parts.withColumn(row, F.monotonically_increasing_id()).withColumn(own, F.pmod(F.xxhash64(row), F.lit(groups)).cast("int"))
+    dealt = dealt.repartition(groups, own).sortWithinPartitions(own, row)
     names = parts.columns
 
     def run(batches):
         group, packer = None, None
         for batch in batches:
             ids, offsets = [], []
-            for g, n in zip(batch.column("_group").to_pylist(), batch.column("length").to_pylist(), strict=True):
+            for g, n in zip(batch.column(own).to_pylist(), batch.column("length").to_pylist(), strict=True):
                 if g != group:
                     group, packer = g, BestFit(capacity, open_bins)
                 at, offset = packer.place(n)
@@ -135,10 +138,14 @@ def pack(docs: DataFrame, tokenizer: tuple, end_id: int = 0, capacity: int = CAP
     return best_fit(materialise(pieces(docs, tokenizer, end_id, capacity, keep_ids, **columns), "pieces"), capacity)
 
 
+def digests(packed: DataFrame) -> DataFrame:
+    """Packed pieces with the length and checksum of the ids that they hold, instead of the ids."""
+    return packed.select("doc_id", "piece", "start", (F.octet_length("ids") / 4).cast("long").alias("length"), F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 ids."""
-    return pack(table(spark, sf_dir, "documents"), byte_bpe_50k(), keep_ids=False).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return digests(pack(table(spark, sf_dir, "documents"), byte_bpe_50k()))
 
 
 QUERIES = {"op1_best_fit_packing": op1_best_fit_packing}

@@ -53,5 +53,11 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(made)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or the first like it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}{k}" for k in range(len(taken) + 1))) if n.lower() not in taken)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
