@@ -4,14 +4,19 @@ Subwords are the 2- to 4-byte runs of the lower-case text within words and their
 borders, hashed into buckets.  A document is the mean of its subwords'
 embeddings, and a linear softmax gives its language.  Embeddings and softmax are
 trained by stochastic gradient descent in numpy on the driver, on a sample of at
-most about PER_LANGUAGE documents of each language and ALTOGETHER in all (chosen
-by a hash of the id, whole texts).  A fifth of the sample is kept out of the training and calibrates
-a temperature for the scores and the limits of rejection: the confidence and the
-share of subwords known from training below which nearly no document of a known
-language lies.
-
-A trained model is linear in the subwords, so it is applied as one table of
-scores for each bucket: whole texts are scored in slices of bounded memory.
+most PER_LANGUAGE documents of each language and about ALTOGETHER in all (whole
+texts, those of least hash of id and text; copies of a row count once).  A fifth
+of the sample is kept out of the training and calibrates a temperature for the
+scores and the limit of rejection: the share of subwords known from training that
+QUANTILE of the kept-out documents stay below, less MARGIN.  A text is rejected if
+its own share stays below that even with ERRORS standard errors added, so that a
+short text is not rejected for one odd word, or if its score is hardly above
+chance (CHANCE times that of the average language).
+
+A trained model is linear in the subwords, so it is applied as one table for each
+bucket: of scores for few languages, of embeddings for many, so that its size
+does not grow with the languages.  Whole texts are scored in slices of bounded
+memory.
 
 A null text, or one without letters, is `und` with score 0 and rejected.  Rows
 without language or id are not learned from.  Without any labelled row all is
@@ -28,10 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import table
+from .sampling import least_of_each
+from .scratch import materialise, table
 
 SIZES, BUCKETS, DIMENSIONS = (2, 3, 4), 1 << 17, 16
 PER_LANGUAGE, ALTOGETHER, EPOCHS, RATE, SLICE, SEED = 400, 4000, 8, 0.5, 1 << 20, 11
+QUANTILE, MARGIN, ERRORS, CHANCE = 0.01, 0.1, 3.0, 1.2
 FOLDS, HELD = 4, 2
 UNKNOWN = "und"
 
@@ -80,18 +87,25 @@ def counts_of(text: str) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Model:
     languages: list[str]
-    scores: np.ndarray  # (BUCKETS + 1, languages + 2): logits, known from training, counts
+    scores: np.ndarray  # (BUCKETS + 1, width + 2): logits or embeddings, known from training, counts
     bias: np.ndarray
     temperature: float
     least_score: float
     least_known: float
+    project: np.ndarray | None = None  # embeddings to logits, where scores holds embeddings
 
     def judge(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Language number, score and rejection for rows of summed scores."""
         n = np.maximum(sums[:, -1], 1)
-        p = softmax((sums[:, :-2] / n[:, None] + self.bias) / self.temperature)
+        p = softmax(self.logits(sums) / self.temperature)
         best, score, known = p.argmax(1), p.max(1), sums[:, -2] / n
-        return best, score, (score < self.least_score) | (known < self.least_known)
+        # runs of all sizes overlap, so a place counts once
+        error = np.sqrt(np.clip(known * (1 - known), 0, None) * len(SIZES) / n)
+        return best, score, (score < self.least_score) | (known + ERRORS * error < self.least_known)
+
+    def logits(self, sums: np.ndarray) -> np.ndarray:
+        mean = sums[:, :-2] / np.maximum(sums[:, -1:], 1)
+        return (mean if self.project is None else mean @ self.project) + self.bias
 
     def sums(self, texts: list[str]) -> np.ndarray:
         """Summed scores of whole texts, many short ones or a slice of a long one at a time."""
@@ -152,42 +166,41 @@ def train(languages: list[str], labels: np.ndarray, rows: list[tuple[np.ndarray,
     known = np.zeros(BUCKETS)
     for i in own:
         known[means[i][0]] = 1
-    scores = np.zeros((BUCKETS + 1, k + 2), np.float32)
-    scores[:BUCKETS, :k], scores[:BUCKETS, k], scores[:BUCKETS, k + 1] = embed @ weights, known, 1
-    model = Model(languages, scores, bias, 1.0, 0.0, 0.0)
+    table, project = (embed @ weights, None) if k <= DIMENSIONS else (embed, weights)
+    scores = np.zeros((BUCKETS + 1, table.shape[1] + 2), np.float32)
+    scores[:BUCKETS, :-2], scores[:BUCKETS, -2], scores[:BUCKETS, -1] = table, known, 1
+    model = Model(languages, scores, bias, 1.0, CHANCE / k if k > 1 else 0.0, 0.0, project)
     if len(kept):
         sums = np.stack([c @ scores[b].astype(float) for b, c in (rows[i] for i in kept)])
-        n = sums[:, -1]
-        logits = sums[:, :k] / n[:, None] + bias
+        logits = model.logits(sums)
         loss = lambda t: -np.log(softmax(logits / t)[np.arange(len(kept)), labels[kept]] + 1e-12).mean()
         model.temperature = float(min(2.0 ** np.arange(-4, 4.01, 0.25), key=loss))
-        best, score, _ = model.judge(sums)
-        right = best == labels[kept]
+        right = model.judge(sums)[0] == labels[kept]
         if right.any():
-            # below half of what even the least typical document of a known language reaches
-            model.least_known = float((sums[:, k] / n)[right].min() / 2)
-            model.least_score = float(min(score[right].min(), 1.2 / max(k, 2)))
+            model.least_known = float(max(0.0, np.quantile((sums[:, -2] / sums[:, -1])[right], QUANTILE) - MARGIN))
     return model
 
 
-def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE) -> Model | None:
+def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE, altogether: int = ALTOGETHER) -> Model | None:
     """A model from the labelled rows of docs; None without any."""
-    rows = docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(label_col).count().collect()}
-    if not sizes:
+    rows = docs.select(F.col(label_col).cast("string").alias("lang"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("lang is not null and id is not null and text is not null")
+    kinds = rows.agg(F.approx_count_distinct("lang", 0.01)).first()[0]
+    if not kinds:
         return None
-    per_language = min(per_language, -(-ALTOGETHER // len(sizes)))
-    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 20))
-    most = F.coalesce(*(F.when(F.col(label_col) == name, F.lit(int((1 << 20) * per_language / n))) for name, n in sizes.items()))
+    key = F.xxhash64("text")
+    # at most altogether rows, and one of each language
+    chosen = F.broadcast(materialise(least_of_each(rows, F.col("lang"), F.col("id"), key, min(per_language, -(-altogether // kinds))), "language-chosen"))
 
     def run(batches):
         for batch in batches:
             got = [counts_of(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b.astype("<u4").tobytes() for b, _ in got], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in got], pa.binary())], names=["lang", "buckets", "counts"])
 
-    sample = rows.where(place < most).orderBy(id_col).select(F.col(label_col).alias("lang"), text_col)
+    own = rows.withColumn("key", key).join(chosen.withColumnRenamed("label", "lang"), ["lang", "id", "key"])
+    sample = own.groupBy("lang", "id", "key").agg(F.first("text").alias("text")).select("lang", "text")
     found = sample.mapInArrow(run, "lang string, buckets binary, counts binary").collect()
-    found = [(r[0], np.frombuffer(r[1], "<u4"), np.frombuffer(r[2], "<u4")) for r in found if r[1]]
+    found = sorted((r[0], bytes(r[1]), bytes(r[2])) for r in found if r[1])  # the order of the tasks must not matter
+    found = [(name, np.frombuffer(b, "<u4"), np.frombuffer(c, "<u4")) for name, b, c in found]
     languages = sorted({x[0] for x in found})
     if not languages:
         return None
