@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sparkmill.llm import language, media, packing, simhash, toxicity
+from sparkmill.llm.sampling import Least, least_of_each
 from sparkmill.llm.scratch import new_path
 
 from .conftest import odd_rows, with_clashes
@@ -85,6 +86,9 @@ def test_abuse_beside_a_quotation_is_abuse(abuse):
     finder = scorer.ready()
     beside, within = (scorer.score(finder.hits(t)) for t in ('he "agreed" then you idiot, don\'t come back', 'he "agreed, you idiot" then'))
     assert within < toxicity.THRESHOLD <= beside
+    # marks that do not pair around the word, and apostrophes, quote nothing
+    for text in ('"hello" she smiled you idiot I don\'t care', "'tis plain you idiot don't speak", "I said you idiot"):
+        assert scorer.score(finder.hits(text)) >= toxicity.THRESHOLD
 
 
 def test_automaton_is_edit_distance():
@@ -145,14 +149,110 @@ def test_one_typing_error_is_enough(spark, abuse):
 
 def test_misspelled_terms_that_clean_texts_are_near_to_stay_doubtful():
     hit = lambda term, word: (0, term, int(term != word), False, word)
-    rows = [(1, [hit("grubka", "grubka")])] * 40 + [(0, [hit("grubka", f"grubk{c}")]) for c in "bcdefghij"] + [(0, [])] * 100
-    innocent, distinct, x, y = toxicity.calibration(rows, toxicity.Lexicon(["grubka"], loose=True))
+    rows = [(1, [hit("grubka", "grubka")], 9)] * 40 + [(0, [hit("grubka", f"grubk{c}")], 9) for c in "bcdefghij"] + [(0, [], 9)] * 100
+    innocent, distinct, _, _, x, y = toxicity.calibration(rows, toxicity.Lexicon(["grubka"], loose=True))
     assert len(innocent) == 9 and "grubka" not in distinct
     assert x[y == 0][:9, 2].all()
-    _, distinct, _, _ = toxicity.calibration(rows[:40] + rows[49:], toxicity.Lexicon(["grubka"], loose=True))
+    _, distinct, *_ = toxicity.calibration(rows[:40] + rows[49:], toxicity.Lexicon(["grubka"], loose=True))
     assert "grubka" in distinct
 
 
+def test_two_edits_need_that_no_clean_word_is_so_near():
+    rows = [(1, [(0, "grubkamot", 0, False, "grubkamot")], 9)] * 40 + [(0, [(0, "grubkamot", 2, False, "rubkamut")], 9)] + [(0, [], 9)] * 99
+    _, _, strict, *_ = toxicity.calibration(rows, toxicity.Lexicon(["grubkamot"], loose=True))
+    assert strict == {"grubkamot"}
+    finder = toxicity.Finder(toxicity.Lexicon(["grubkamot", "worthless"], loose=True), strict=strict)
+    assert [(h[1], h[2]) for h in finder.hits("grubkamott gubkammot wrothlses grubkamot")] == [("grubkamot", 1), ("worthless", 2), ("grubkamot", 0)]
+
+
+def test_families_count_by_chance(spark):
+    rng, rows, labels = random.Random(5), [], []
+    for k in range(900):
+        words, bad = speech("aa", k, 100).split(), k % 6 == 0
+        for _ in range(4 if bad else rng.random() < 0.05):
+            words.insert(rng.randrange(len(words)), "zugrum" + "".join(rng.choices(SYLLABLES["bb"], k=2)))
+        rows.append((k, " ".join(words)))
+        labels.append((k, int(bad)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    scorer = toxicity.fit(docs, marks)
+    assert scorer.kin == {"zugrum"}
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, scorer).collect()}
+    held = [k for k in got if zlib.crc32(str(k).encode()) % 3 == 1]
+    assert sum(got[k] != (k % 6 == 0) for k in held) <= 0.02 * len(held)
+    finder, words = scorer.ready(), "zugrumaa zugrumbb zugrumcc zugrumdd"
+    short, long = (scorer.score(finder.hits(t), t) for t in (f"ka to {words}", f"{words} {'ka to ' * 50_000}"))
+    assert long < toxicity.THRESHOLD <= short
+
+
+@pytest.mark.parametrize(("k", "mean"), [(0, 0.5), (1, 0.01), (3, 0.2), (7, 4.0)])
+def test_chance(k, mean):
+    draws = np.random.default_rng(1).poisson(mean, 400_000)
+    assert abs(toxicity.chance(k, mean) - (draws >= k).mean()) < 0.003
+
+
+def test_held_out_toxicity(spark):
+    sf = "/root/testdata/sf0.1"
+    got = toxicity.op4_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null"), "doc_id").where("held_out").collect()
+    hits = sum(r["predicted"] * r["toxic"] for r in got)
+    assert hits >= 0.9 * sum(r["predicted"] for r in got) and hits >= 0.9 * sum(r["toxic"] for r in got)
+
+
+def test_samples_are_bounded_and_leave_no_class_out(spark):
+    rows = spark.range(30_000).select(F.when(F.col("id") < 20, "rare").when(F.col("id") < 20_020, "hot").otherwise("usual").alias("y"),
+                                      F.when(F.col("id").between(20, 20_019), 7).otherwise(F.col("id")).alias("id"), F.when(F.col("id").between(20, 10_019), 1).otherwise(F.col("id")).alias("key"))
+    got = defaultdict(list)
+    for r in least_of_each(rows.repartition(7), F.col("y"), F.col("id"), F.col("key"), 50).collect():
+        got[r["label"]].append((r["id"], r["key"]))
+    every = defaultdict(set)
+    for r in rows.select("y", "id", "key", F.xxhash64("id", "key").alias("h")).collect():
+        every[r["y"]].add((r["h"], r["id"], r["key"]))
+    assert {y: sorted(v) for y, v in got.items()} == {y: sorted((i, k) for _, i, k in sorted(v)[:50]) for y, v in every.items()}
+    assert {y: len(v) for y, v in got.items()} == {"rare": 20, "hot": 50, "usual": 50}
+
+
+def test_a_class_of_many_rows_fills_the_sample():
+    """As one task of a class of 10^9 rows would see them: a million and a half at a time."""
+    rng, least, every = np.random.default_rng(2), Least(400), []
+    for _ in range(20):
+        rows = rng.integers(-(1 << 63), 1 << 63, (75_000, 3))
+        every.append(rows[np.argsort(rows[:, 0])[:400]])
+        least.add(rows)
+    want = np.concatenate(every)
+    assert (least.cut() == want[np.argsort(want[:, 0])[:400]]).all()
+
+
+def test_fits_stay_within_their_samples(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language, "train", lambda languages, labels, rows: seen.append(len(rows)))
+    many = spark.range(3000).select(F.lit(7).alias("doc_id"), F.concat(F.lit("some words "), F.col("id").cast("string")).alias("text"), F.lit("aa").alias("lang"))
+    language.fit(many, per_language=50)
+    assert seen == [50]
+    labels = spark.createDataFrame([(7, 1)], "doc_id long, toxic int")
+    assert toxicity._sampled(many, labels).count() == 1
+
+
+def test_many_languages_do_not_grow_the_model(spark):
+    rng = random.Random(4)
+    kinds = {f"l{k}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(12)] for k in range(20)}
+    rows = [(100 * i + k, " ".join(rng.choices(words, k=80)), name) for i, (name, words) in enumerate(kinds.items()) for k in range(12)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.languages) == 20 and model.scores.shape[1] == language.DIMENSIONS + 2
+    best, score, _ = model.judge(model.sums([t for _, t, _ in rows]))
+    assert np.mean([model.languages[b] == lang for b, (_, _, lang) in zip(best, rows, strict=True)]) > 0.95
+
+
+def test_unlearned_languages_are_rejected(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.fit(docs.where(~language.held_out("doc_id", language.FOLDS, language.HELD)))
+    got = language.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(language.held_out("doc_id", language.FOLDS, language.HELD)).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.99 * len(got) and not any(r["rejected"] and r["score"] > 0 for r in got)
+    strange = ["Nel giardino della vecchia casa cantavano gli uccelli mentre il sole tramontava lentamente dietro le colline e la gente tornava a casa",
+               "De kat zat op de mat en keek naar de vogels die buiten in de tuin vlogen terwijl de zon langzaam achter de huizen verdween",
+               "Kissa istui matolla ja katseli lintuja jotka lentelivät puutarhassa auringon laskiessa hitaasti talojen taakse", "Кошка сидела на коврике и смотрела на птиц"]
+    assert language.accepted(spark.createDataFrame([(k, t) for k, t in enumerate(strange)], "doc_id long, text string"), model).isEmpty()
+
+
 def test_loose_lexicon_counts_changed_neighbours_once():
     rng, terms = random.Random(3), ["abcab", "bcabcabca", "ccaab", "acbb", "cabca*"]
     lexicon = toxicity.Lexicon(terms, loose=True)
