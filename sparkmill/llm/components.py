@@ -1,7 +1,8 @@
 """Connected components of a graph given as a table of links.
 
 Alternating large-star and small-star steps on two long columns.  Every step is
-a minimum for each node and a join back, so no node's neighbours meet in one
+a minimum for each node, combined before the shuffle, and a join back, in which
+nodes with very many neighbours are broadcast, so that these do not meet in one
 place; each round is written to the shared folder, which cuts the lineage.
 """
 
@@ -11,19 +12,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import materialise
+from .skew import join_by_key
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     """Links (u, v), each once: every node's larger neighbours go to its least."""
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return join_by_key(both.where("v > u"), least, "u", "n", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     """Links run from larger to smaller: every node and its smaller neighbours go to the least of them."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
-    moved = links.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_by_key(links, least, "u", "n", total).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -40,7 +42,8 @@ def components(links: DataFrame) -> DataFrame:
     now = materialise(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     state = _state(now)
     while state[0]:
-        now = materialise(_small_star(_large_star(now)), "links")
+        large = materialise(_large_star(now, state[0]), "links")
+        now = materialise(_small_star(large, large.count()), "links")
         state, before = _state(now), state
         if state == before:
             break

@@ -3,16 +3,21 @@
 Fingerprints within ``budget`` bits agree in at least k of budget + k blocks of
 the 64 bits.  For each choice of k blocks the distinct fingerprints are turned so
 that these lead, and the trie of the turned values is joined with itself below
-each full lead: pairs of trie nodes go down together, differing bits add up,
-and a pair of nodes ends as soon as they exceed the budget.  Pairs of small
-nodes are compared at once.  A lead that very many fingerprints share is dealt
-on as pairs of its trie's next nodes, again within the budget.  k grows with the
-number of fingerprints, so that leads stay about as long as their logarithm:
-more turns, but far fewer pairs below each lead.
+the nodes of a short lead: of so many bits that about NODE fingerprints share
+one, and never more than the k blocks have.  Pairs of trie nodes go down
+together, differing bits add up, and a pair of nodes ends as soon as they exceed
+the budget.  Only pairs of at most two by two fingerprints are compared as they
+are.
+
+A node that more than HOT fingerprints share is dealt on as pairs of the nodes
+SPREAD bits below it, again within the budget, and those that are still too
+large once more, until no group is.  k grows with the number of fingerprints, so
+that the leads can stay about as long as its logarithm.
 
 Tasks return a spanning forest of the links that they find, at most one link
 for each fingerprint, never all pairs of a group of near copies.  Components
-are then found by star contraction and carried back to the documents.
+are then found by star contraction and carried back to the documents; what very
+many documents or fingerprints share is broadcast, not shuffled.
 
 Null, empty and blank texts have fingerprint zero and are linked like others.
 Repeated rows share one fingerprint.  A null doc_id never names a component.
@@ -30,11 +35,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import materialise, table
+from .scratch import materialise, table, unused
+from .skew import join_by_key
 
 BUDGET, WORDS, SEED = 4, 4, 42
-#: A group larger than HOT is dealt on by SPREAD more bits; pairs of nodes of LEAF or fewer pairs are compared at once.
-HOT, SPREAD, LEAF, AT_ONCE = 65_536, 4, 1024, 1 << 21
+#: Fingerprints below a lead, about; a group larger than HOT is dealt on by SPREAD more bits; pairs of nodes of LEAF or fewer pairs are compared at once.
+NODE, HOT, SPREAD, LEAF, AT_ONCE = 64, 65_536, 4, 4, 1 << 21
 #: Up to so many fingerprints one block leads, up to so many two, beyond them three.
 MANY = (1 << 23, 1 << 31)
 
@@ -91,7 +97,7 @@ def trie_join(codes: np.ndarray, groups: np.ndarray, sides: np.ndarray | None, b
         frontier = [low, high, low, high, np.ones(len(low), bool)]
     else:
         frontier = [low, sides, sides, high, np.zeros(len(low), bool)]
-    above = 0
+    above = ~((1 << depth) - 1) & (1 << 64) - 1
     for bit in range(depth - 1, -2, -1):
         a, b, c, d, same = frontier
         pairs = (b - a) * (d - c)
@@ -175,41 +181,43 @@ def _back(codes: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
     return out
 
 
-def links(fps: DataFrame, budget: int = BUDGET, hot: int = HOT, spread: int = SPREAD, leading: int | None = None) -> DataFrame:
+def links(fps: DataFrame, budget: int = BUDGET, hot: int = HOT, spread: int = SPREAD, leading: int | None = None, node: int = NODE) -> DataFrame:
     """Links (u, v) that connect all distinct fingerprints within budget bits of each other.
 
     fps: one column fp of distinct longs, materialised.
     """
+    n = fps.count()
     if leading is None:
-        n = fps.count()
         leading = 1 + sum(n > most for most in MANY)
     turns = _turns(budget, leading)
-    codes = fps.select(F.explode(F.array(*(F.struct(F.lit(k).alias("turn"), F.lit(lead).alias("lead"), _turned(F.col("fp"), order).alias("code")) for k, (order, lead) in enumerate(turns)))).alias("x")).select("x.*")
-    turned = codes.withColumn("block", F.expr("shiftrightunsigned(code, 64 - lead)"))
-    sizes = turned.groupBy("turn", "block").agg(F.count("*").alias("n")).where(F.col("n") > hot)
-    many = materialise(sizes.select("turn", "block", F.lit(True).alias("_hot")), "hot-blocks")
-    at = F.lit(None).cast("int")
-    if many.isEmpty():
-        dealt = turned.select("turn", "block", at.alias("a"), at.alias("b"), F.lit(0).alias("side"), "code")
-    else:
-        # the next bits of a hot block name 2^spread nodes; each pair of nodes within the budget is a group
-        marked = turned.join(many, ["turn", "block"], "left")
-        cool = marked.where("_hot is null").select("turn", "block", at.alias("a"), at.alias("b"), F.lit(0).alias("side"), "code")
-        node = F.expr(f"shiftrightunsigned(code, 64 - lead - {spread})").bitwiseAND(F.lit((1 << spread) - 1).cast("long"))
-        own = marked.where("_hot").withColumn("node", node.cast("int"))
-        other = F.explode(F.sequence(F.lit(0), F.lit((1 << spread) - 1)))
-        own = own.withColumn("other", other).where(F.bit_count(F.col("node").bitwiseXOR(F.col("other"))) <= budget)
-        own = own.select("turn", "block", F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), (F.col("node") > F.col("other")).cast("int").alias("side"), "code")
-        dealt = cool.unionByName(own)
-    key = ["turn", "block", "a", "b"]
-    dealt = dealt.repartition(*key).sortWithinPartitions(*key, "side", "code")
+    short = max(0, (n // node).bit_length())
+    codes = fps.select(F.explode(F.array(*(F.struct(F.lit(k).alias("turn"), F.lit(min(lead, short)).alias("width"), _turned(F.col("fp"), order).alias("code")) for k, (order, lead) in enumerate(turns)))).alias("x")).select("x.*")
+    # a group is a pair of trie nodes: their depth and values; the rows of the second have side 1
+    key = ["turn", "width", "a", "b"]
+    node_of = lambda width: F.when(width == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.col("code"), 64 - width))
+    opened, groups = codes.select("turn", "width", node_of(F.col("width")).alias("a"), node_of(F.col("width")).alias("b"), F.lit(0).alias("side"), "code"), []
+    while True:
+        large = materialise(opened.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > hot).select(*key), "hot-nodes")
+        if large.isEmpty():
+            groups.append(opened)
+            break
+        # every large group has over hot rows, so there are few of them
+        groups.append(opened.join(large, key, "left_anti"))
+        own = opened.join(large, key, "left_semi").withColumn("more", F.least(F.lit(spread), 64 - F.col("width")))
+        down = node_of(F.col("width") + F.col("more"))
+        base = F.call_function("shiftleft", F.when(F.col("side") == 0, F.col("b")).otherwise(F.col("a")), F.col("more"))
+        own = own.withColumn("down", down).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("more")) - 1)))
+        own = own.withColumn("other", base.bitwiseOR(F.col("other"))).where(F.bit_count(F.col("down").bitwiseXOR(F.col("other"))) <= budget)
+        opened = materialise(own.select("turn", (F.col("width") + F.col("more")).alias("width"), F.least("down", "other").alias("a"), F.greatest("down", "other").alias("b"), (F.col("down") > F.col("other")).cast("int").alias("side"), "code"), "dealt-nodes")
+    dealt = reduce(DataFrame.unionByName, groups).repartition(*key).sortWithinPartitions(*key, "side")
 
     def run(batches):
         held: list = []
         for batch in batches:
-            x = {c: batch.column(c).fill_null(-1).to_numpy(zero_copy_only=False) for c in ("turn", "block", "a", "b", "side", "code")}
+            x = {c: batch.column(c).to_numpy() for c in (*key, "side", "code")}
             held.append(x)
-            if sum(len(h["code"]) for h in held) >= 1 << 20:
+            # no group is larger than hot, so what is carried on stays small
+            if sum(len(h["code"]) for h in held) >= (1 << 20) + hot:
                 joined = {c: np.concatenate([h[c] for h in held]) for c in x}
                 last = _last_group(joined)
                 if last:
@@ -233,47 +241,68 @@ def links(fps: DataFrame, budget: int = BUDGET, hot: int = HOT, spread: int = SP
             new[1:] |= x[c][1:] != x[c][:-1]
         starts = np.flatnonzero(new)
         ends = np.append(starts[1:], len(new))
-        codes, lone = x["code"].view(np.uint64), x["a"][starts] == x["b"][starts]
-        for turn, (order, lead) in enumerate(turns):
-            for joined in (False, True):
-                own = (x["turn"][starts] == turn) & (lone != joined)
-                if not own.any():
-                    continue
-                rows = np.concatenate([np.arange(s, e) for s, e in zip(starts[own], ends[own], strict=True)])
-                groups = np.concatenate([[0], np.cumsum(ends[own] - starts[own])])
-                sides = None
-                if joined:
-                    sides = groups[1:] - np.add.reduceat(x["side"][rows], groups[:-1])
-                root = forest(len(rows), trie_join(codes[rows], groups, sides, budget, 64 - lead))
-                far = root != np.arange(len(rows))
-                u, v = _back(codes[rows][far], order), _back(codes[rows][root[far]], order)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
+        # signed order is not the order of the trie: sort each node's codes as unsigned
+        codes = x["code"].view(np.uint64)
+        place = np.lexsort((codes, x["side"], np.cumsum(new)))
+        codes, lone, kinds = codes[place], x["a"][starts] == x["b"][starts], x["turn"][starts].astype(np.int64) << 8 | x["width"][starts] << 1
+        kinds |= ~lone
+        for kind in np.unique(kinds):
+            own = kinds == kind
+            turn, width, joined = int(kind) >> 8, int(kind) >> 1 & 127, bool(kind & 1)
+            rows = np.concatenate([np.arange(s, e) for s, e in zip(starts[own], ends[own], strict=True)])
+            borders = np.concatenate([[0], np.cumsum(ends[own] - starts[own])])
+            sides = borders[1:] - np.add.reduceat(x["side"][rows], borders[:-1]) if joined else None
+            root = forest(len(rows), trie_join(codes[rows], borders, sides, budget, 64 - width))
+            far = root != np.arange(len(rows))
+            order = turns[turn][0]
+            u, v = _back(codes[rows][far], order), _back(codes[rows][root[far]], order)
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
     return dealt.mapInArrow(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """doc_id, text_key, fp, component_id (the least doc_id reachable) of every row."""
+def _classed(docs: DataFrame, budget: int, id_col: str, text_col: str, **how) -> tuple[DataFrame, int, DataFrame]:
+    """The fingerprints of all rows, their number, and of each distinct one: n rows, root, and first, the component's
+    least (no id, id, text_key)."""
     marked = materialise(fingerprints(docs, id_col, text_col, **how), "fingerprints")
-    fps = materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    one = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    fps = materialise(marked.groupBy("fp").agg(F.min(one).alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
     found = materialise(components(links(fps.select("fp"), budget)), "components")
-    named = found.join(fps.withColumnRenamed("fp", "node"), "node")
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = found.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    classes = fps.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return marked.join(classes, "fp").select("doc_id", "text_key", "fp", "component_id")
+    of_root = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    of_root = materialise(of_root, "components")
+    firsts = of_root.groupBy("root").agg(F.min("first").alias("first"), F.count("*").alias("members"))
+    classes = join_by_key(of_root.drop("first"), firsts, "root", "members", of_root.count())
+    return marked, marked.count(), materialise(classes, "classes")
+
+
+def near_duplicates(docs: DataFrame, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """doc_id, text_key, fp, component_id (the least doc_id reachable) of every row."""
+    marked, rows, classes = _classed(docs, budget, id_col, text_col, **how)
+    named = classes.select("fp", "n", F.col("first.doc_id").alias("component_id"))
+    return join_by_key(marked, named, "fp", "n", rows).select("doc_id", "text_key", "fp", "component_id")
 
 
 def representatives(docs: DataFrame, budget: int = BUDGET, **how) -> DataFrame:
-    """One row of docs, all columns, of each component: that of the least doc_id.
+    """One row of docs, all columns, of each component: that of the least doc_id, and under one id of the
+    least hash of the text.  Rows without id come last.  Of rows of one id and text any one stays.
 
-    Of repeated rows one stays.  A group in which no row has an id keeps one row of each text.
+    The decision is made on ids and hashes; rows move only where Spark finds the table of what goes
+    too large to broadcast, and where an id and text that stays is repeated.
     """
-    least = F.lit(-(1 << 63))
-    key = {"_id": F.coalesce(F.col("doc_id").cast("long"), least), "_key": F.xxhash64("text")}
-    gone = near_duplicates(docs, budget, **how).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = gone.select(F.coalesce("doc_id", least).alias("_id"), F.col("text_key").alias("_key"))
-    return docs.withColumns(key).join(gone, ["_id", "_key"], "left_anti").dropDuplicates(["_id", "_key"]).select(docs.columns)
+    marked, rows, classes = _classed(docs, budget, "doc_id", "text", **how)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    judged = join_by_key(marked, classes.select("fp", "n", "first"), "fp", "n", rows).select("doc_id", "text_key", own.eqNullSafe(F.col("first")).alias("stays"))
+    counts = materialise(judged.groupBy("doc_id", "text_key", "stays").agg(F.count("*").alias("n")).where("not stays or n > 1"), "near-duplicates")
+    key = lambda df: (F.col("doc_id").cast("long").eqNullSafe(df["_of_id"])) & (F.xxhash64("text") == df["_of_text"])
+    named = counts.select(F.col("doc_id").alias("_of_id"), F.col("text_key").alias("_of_text"), "stays")
+    gone, again = named.where("not stays").drop("stays"), named.where("stays").drop("stays")
+    if again.isEmpty():
+        return docs.join(gone, key(gone), "left_anti")
+    once = docs.join(named.drop("stays"), key(named), "left_anti")
+    whole = docs.join(again, key(again), "left_semi")
+    name = unused(docs, "_row")
+    firsts = whole.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias(name)).groupBy(F.col(f"{name}.doc_id").alias("_of_id"), F.xxhash64(f"{name}.text").alias("_of_text")).agg(F.first(name).alias(name))
+    return once.unionByName(firsts.select(f"{name}.*"))
 
 
 def hexed(fp):

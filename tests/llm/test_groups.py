@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkmill.llm import sharding, simhash, vectors
 from sparkmill.llm.components import components
+from sparkmill.llm.skew import join_by_key
 
 from .conftest import odd_rows, prose, with_clashes
 
@@ -91,6 +92,60 @@ def test_representatives(spark, odd):
     assert sum(t == prose(3, 150) for _, t in rows) <= 1
 
 
+def test_representatives_are_whole_rows(spark):
+    """One row of each component, with the values of columns that could clash."""
+    rows = [(d, t, f"id {k % 3}", f"key {d}", f"of {d}", "row") for k, (d, t) in enumerate(odd_rows())]
+    rows += [(400, prose(9, 400), "a", "b", "c", "d"), (400, prose(9, 400) + " more", "e", "f", "g", "h"), (None, prose(9, 400) + " less", "i", "j", "k", "l"), (500, "one more text", "x", "x", "x", "x"), (500, "one more text", "x", "x", "x", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _key string, _of_id string, _row string").repartition(3)
+    prints = [simhash.fingerprint(r[1]) & (1 << 64) - 1 for r in rows]
+    root = roots(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4])
+    key = {r["text"]: r["k"] for r in docs.select("text", F.xxhash64("text").alias("k")).collect()}
+    got = [tuple(r) for r in simhash.representatives(docs).collect()]
+    want = defaultdict(list)
+    for r, own in zip(rows, root, strict=True):
+        want[own].append(r)
+    first = {own: min((r[0] is None, r[0] or 0, key[r[1]]) for r in every) for own, every in want.items()}
+    assert len(got) == len(want) and set(got) <= set(rows)
+    assert sorted((r[0] is None, r[0] or 0, key[r[1]]) for r in got) == sorted(first.values())
+
+
+def test_repeated_rows_leave_others_where_they_are(spark, tmp_path):
+    """Without repeated rows texts are neither shuffled nor grouped."""
+    spark.createDataFrame([(k, prose(k, 60)) for k in range(50)], "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    kept = simhash.representatives(spark.read.parquet(str(tmp_path / "docs")))
+    assert "Exchange hashpartitioning(doc_id" not in kept._jdf.queryExecution().toString() and kept.count() == 50
+
+
+def test_nodes_go_down_together():
+    """Pairs of nodes are pruned by differing bits, not compared."""
+    rng = np.random.default_rng(3)
+    codes = np.unique(rng.integers(0, 1 << 63, 3000, dtype=np.uint64))
+    codes = np.unique(np.concatenate([codes, codes[:300] ^ np.uint64(1 << 40 | 1 << 7)]))
+    compared, real = [], simhash._compare
+
+    def counted(codes, a, b, c, d, same, budget):
+        compared.append(int(((b - a) * (d - c)).sum()))
+        return real(codes, a, b, c, d, same, budget)
+
+    simhash._compare = counted
+    try:
+        pairs = {(int(i), int(j)) for x, y in simhash.trie_join(codes, np.array([0, len(codes)]), None, 4, 64) for i, j in zip(x, y, strict=True)}
+    finally:
+        simhash._compare = real
+    want = {(i, j) for i in range(len(codes)) for j in np.flatnonzero(np.bitwise_count(codes ^ codes[i]) <= 4).tolist() if i < j}
+    assert pairs == want and len(want) >= 300
+    # a random pair stays within 4 bits through 11 levels in 27 of 100 cases
+    assert sum(compared) < 0.25 * len(codes) ** 2 / 2 and len(compared) > 10
+
+
+@pytest.mark.parametrize("total", [10, 100_000])
+def test_join_by_key(spark, total):
+    left = spark.range(5000).select(F.when(F.col("id") < 2000, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("v"))
+    right = left.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("m")).where("k <> 3000")
+    got = sorted(map(tuple, join_by_key(left, right, "k", "n", total).collect()))
+    assert got == sorted((1 if v < 2000 else v, v, 0 if v < 2000 else v) for v in range(5000) if v != 3000)
+
+
 def test_empty_groups(spark, none):
     assert simhash.near_duplicates(none).isEmpty()
     assert simhash.representatives(none).isEmpty()
