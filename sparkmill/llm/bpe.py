@@ -2,9 +2,11 @@
 
 The normaliser of the file turns white space into single spaces, and no
 pre-token holds one, so the words of a normalised text are what stands between
-spaces.  Each distinct word of the corpus is encoded once; its ids come back to
-every place where the word stands.  Decoding joins the ids with the table of
-pieces, as the library does for a file without decoder.
+spaces.  Each distinct word of the corpus is encoded once and gets a number in its
+bucket; the distinct words' ids are rows of a table that is joined with the table
+of pieces, id by id, which decodes them.  Ids and pieces then come back to every
+place where the word stands.  The library puts one space between all pieces of a
+file without decoder, so a text is its words' pieces with a space between.
 
 Null, empty and blank texts have no ids and decode to the empty text.  Repeated
 rows and null ids are encoded like others.  An empty table gives an empty
@@ -20,9 +22,10 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import worddict
-from .scratch import table
+from .scratch import materialise, table
 
 #: Letters on whose classes and cases all Unicode versions agree; no separators that only Python takes for space.
 _PLAIN = re.compile(r"[\x00-\x1b\x20-ɏ]*\Z")
@@ -62,13 +65,9 @@ class WordBpe:
         usual = iter(self.library.encode_batch([w for w, o in zip(words, odd, strict=True) if not o], add_special_tokens=False))
         return [self._odd(w) if o else next(usual).ids for w, o in zip(words, odd, strict=True)]
 
-    def pieces(self) -> np.ndarray:
+    def pieces(self) -> list[tuple[int, str]]:
         """The table id to piece."""
-        vocabulary = self.library.get_vocab(with_added_tokens=True)
-        out = np.empty(max(vocabulary.values()) + 1, object)
-        for piece, i in vocabulary.items():
-            out[i] = piece.encode()
-        return out
+        return sorted((i, piece) for piece, i in self.library.get_vocab(with_added_tokens=True).items())
 
 
 _files: dict = {}
@@ -91,29 +90,18 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return raw[1 : n + 1], raw[n + 1 :]
 
 
-def _placed(row: dict, packed: list[bytes], order: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
-    """Ids of each word number, their lengths, and the block's word numbers."""
-    sizes, flat = (np.concatenate(x) if x else np.empty(0, np.uint32) for x in zip(*map(_unpacked, packed))) if packed else (np.empty(0, np.uint32),) * 2
-    lengths = np.zeros(len(order), np.int64)
-    lengths[order] = sizes
-    by_word = np.empty(len(order), object)
-    ends = np.cumsum(sizes, dtype=np.int64).tolist()
-    for word, a, b in zip(order.tolist(), [0, *ends], ends, strict=False):
-        by_word[word] = flat[a:b]
-    return by_word, lengths, worddict.unpack(row["seq"])
-
-
-def _blocks(docs: DataFrame, path: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    held = worddict.blocks(docs, lambda: word_bpe(path).words, False, id_col, text_col)
-    return held, worddict.answers(held, lambda: word_bpe(path).encode, _packed)
-
-
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every row."""
-    held, found = _blocks(docs, path, id_col, text_col)
-
-    def finish(row, packed, order):
-        by_word, _, seq = _placed(row, packed, order)
+    held = worddict.blocks(docs, lambda: word_bpe(path).words, False, id_col, text_col)
+    found = worddict.answers(worddict.asked(held, worddict.buckets_of(held)), lambda: word_bpe(path).encode, _packed)
+
+    def finish(row):
+        by_word, seq = np.empty(row["n_distinct"], object), worddict.unpack(row["seq"])
+        for record in row["found"]:
+            sizes, flat = _unpacked(record["answers"])
+            ends = np.cumsum(sizes, dtype=np.int64).tolist()
+            for word, a, b in zip(worddict.numbers_of(record["numbers"]).tolist(), [0, *ends], ends, strict=False):
+                by_word[word] = flat[a:b]
         ends = np.cumsum(row["n_words"]).tolist()
         ids = [np.concatenate(by_word[seq[a:b]]).astype(np.int32) if b > a else np.empty(0, np.int32) for a, b in zip([0, *ends], ends, strict=False)]
         return pa.RecordBatch.from_pydict({"doc_id": pa.array(row["doc_id"], pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32()))})
@@ -121,28 +109,95 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return worddict.met(held, found, finish, "doc_id long, ids array<int>")
 
 
+def piece_table(spark: SparkSession, path: str) -> DataFrame:
+    """id and piece, one row for each id of the vocabulary."""
+    return spark.createDataFrame(word_bpe(path).pieces(), "id int, piece string").coalesce(1)
+
+
+def joined(coded: DataFrame, key: list[str], path: str) -> DataFrame:
+    """key and text: the pieces of column ids, found by a join with the table of pieces, with a space between.
+
+    The table has a row for each id of the vocabulary, which bounds what is broadcast.
+    """
+    each = coded.select(*key, F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(piece_table(coded.sparkSession, path)), "id", "left")
+    return each.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), " ").alias("text"))
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id and text, by a join of ids with the table of pieces."""
+    """doc_id and text of rows of doc_id and ids."""
+    rows = encoded.select("doc_id", "ids").withColumn("row", F.monotonically_increasing_id())
+    return joined(rows, ["row", "doc_id"], path).select("doc_id", "text")
+
+
+def _distinct(words: DataFrame, path: str) -> DataFrame:
+    """What asked() gives, as references to distinct words, and these words: bucket, block (null for distinct words),
+    numbers (of the block, or of the bucket), refs (numbers in the bucket) and ids."""
+
+    def run(batches):
+        ask, known, bucket = word_bpe(path).encode, worddict.Numbers(), None
+        for batch in batches:
+            for own, block, numbers, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "numbers", "words")), strict=True):
+                if own != bucket:
+                    bucket, known = own, worddict.Numbers()
+                first = len(known)
+                refs = np.fromiter(map(known.__getitem__, found := worddict.unpack_words(data)), np.uint32)
+                new = [w for w, r in zip(found, refs.tolist(), strict=True) if r >= first]
+                ids = ask(new)
+                yield pa.RecordBatch.from_pydict({
+                    "bucket": pa.array([own, own], pa.int32()), "block": pa.array([block, None], pa.int64()), "numbers": pa.array([numbers, None], pa.binary()),
+                    "refs": pa.array([worddict.pack(refs), None], pa.binary()), "first": pa.array([None, first], pa.int32()), "ids": pa.array([None, ids], pa.list_(pa.list_(pa.int32())))})
+
+    return materialise(words.mapInArrow(run, "bucket int, block long, numbers binary, refs binary, first int, ids array<array<int>>"), "distinct-words")
+
+
+def _decoded(distinct: DataFrame, buckets: int, path: str) -> DataFrame:
+    """bucket, n (in the bucket), ids and text of all distinct words; no row moves but to its bucket."""
+    words = distinct.where("block is null").repartition(buckets, "bucket")
+    rows = words.select("bucket", "first", F.posexplode("ids").alias("k", "ids")).select("bucket", (F.col("first") + F.col("k")).alias("n"), "ids")
+    return joined(rows, ["bucket", "n", "ids"], path)
+
+
+def _returned(distinct: DataFrame, buckets: int, path: str) -> DataFrame:
+    """block, numbers, ids and pieces (packed) of each record of asked()."""
+    words = _decoded(distinct, buckets, path).select("bucket", F.lit(0).alias("kind"), "n", "ids", "text", *(F.lit(None).cast(t).alias(c) for c, t in (("block", "long"), ("numbers", "binary"), ("refs", "binary"))))
+    refs = distinct.where("block is not null").select("bucket", F.lit(1).alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in (("n", "int"), ("ids", "array<int>"), ("text", "string"))), "block", "numbers", "refs")
+    every = words.unionByName(refs).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
     def run(batches):
-        pieces = word_bpe(path).pieces()
+        bucket, ids, text = None, {}, {}
         for batch in batches:
-            text = [b" ".join(pieces[np.array(x.as_py() or [], np.int64)]).decode() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(text, pa.string())], names=["doc_id", "text"])
+            out: list[list] = [[], [], [], []]
+            for own, kind, n, i, t, block, numbers, refs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "n", "ids", "text", "block", "numbers", "refs")), strict=True):
+                if own != bucket:
+                    bucket, ids, text = own, {}, {}
+                if kind == 0:
+                    ids[n], text[n] = i, t
+                    continue
+                words = worddict.unpack(refs).tolist()
+                for to, x in zip(out, (block, numbers, _packed([ids[w] for w in words]), worddict.pack_words([text[w] for w in words])), strict=True):
+                    to.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "numbers", "ids", "pieces"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return every.mapInArrow(run, "block long, numbers binary, ids binary, pieces binary")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of decimal ids and of the decoded text: encode and decode
-    in one pass, each word's ids and pieces written out once for each block."""
-    held, found = _blocks(docs, path, id_col, text_col)
-
-    def finish(row, packed, order):
-        by_word, lengths, seq = _placed(row, packed, order)
-        pieces = word_bpe(path).pieces()
-        numbers = [b" ".join([b"%d" % i for i in ids.tolist()]) for ids in by_word]
-        decoded = [b" ".join(pieces[ids].tolist()) for ids in by_word]
+    """doc_id, n_tokens and the SHA-256 of decimal ids and of the decoded text, each document put together from its
+    words' ids and decoded pieces."""
+    held = worddict.blocks(docs, lambda: word_bpe(path).words, False, id_col, text_col)
+    buckets = worddict.buckets_of(held)
+    found = _returned(_distinct(worddict.asked(held, buckets), path), buckets, path)
+
+    def finish(row):
+        n, seq = row["n_distinct"], worddict.unpack(row["seq"])
+        lengths, numbers, decoded = np.zeros(n, np.int64), [b""] * n, [b""] * n
+        for record in row["found"]:
+            sizes, flat = _unpacked(record["ids"])
+            ends, decimal = np.cumsum(sizes, dtype=np.int64).tolist(), [b"%d" % i for i in flat.tolist()]
+            own = worddict.numbers_of(record["numbers"])
+            lengths[own] = sizes
+            for word, a, b, text in zip(own.tolist(), [0, *ends], ends, worddict.unpack_words(record["pieces"]), strict=False):
+                numbers[word], decoded[word] = b" ".join(decimal[a:b]), text.encode()
         some = lengths > 0  # a word without ids leaves no space
         ends, out = np.cumsum(row["n_words"]).tolist(), ([], [], [])
         for a, b in zip([0, *ends], ends, strict=False):

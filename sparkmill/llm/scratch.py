@@ -45,12 +45,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """Like materialise(), dealt into as many buckets of key as a shuffle has
-    partitions: a join on key then moves only its other side."""
+    partitions: a join on key then moves only its other side.
+
+    Spark keeps buckets in a catalogue, so the table has a name there while it is
+    written; the plan that is returned needs the files alone.
+    """
     spark = df.sparkSession
     made = f"sparkmill_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").option("path", new_path(spark, name)).bucketBy(buckets, key).saveAsTable(made)
-    return spark.table(made)
+    try:
+        return spark.table(made)
+    finally:
+        spark.sql(f"DROP TABLE {made}")  # its files lie at a path of their own and stay
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -72,12 +72,12 @@ def counter(path: str):
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row."""
     held = worddict.blocks(docs, lambda: pre_tokens, True, id_col, text_col)
-    found = worddict.answers(held, lambda: counter(path), lambda x: worddict.pack(np.array(x, np.uint32)))
+    found = worddict.answers(worddict.asked(held, worddict.buckets_of(held)), lambda: counter(path), lambda x: worddict.pack(np.array(x, np.uint32)))
 
-    def finish(row, packed, order):
-        pieces = np.zeros(len(order), np.int64)
-        if packed:
-            pieces[order] = np.concatenate([worddict.unpack(p) for p in packed])
+    def finish(row):
+        pieces = np.zeros(row["n_distinct"], np.int64)
+        for record in row["found"]:
+            pieces[worddict.numbers_of(record["numbers"])] = worddict.unpack(record["answers"])
         lengths = np.array(row["n_words"], np.int64)
         # each document's word numbers were written as gaps
         gaps, starts = worddict.unpack(row["seq"]).astype(np.int64), np.cumsum(lengths) - lengths

@@ -1,12 +1,16 @@
 """A table of distinct words, and the way of its answers back to the documents.
 
 1. Documents are split into words once, in blocks of bounded size.  A block
-   holds its distinct words once, dealt by hash into buckets, and its documents
-   as numbers of those words.  All blocks are one written table.
-2. A bucket gets its words from all blocks, so every distinct word of the whole
-   corpus is looked up in one task, once.  A word that stands in every document
-   comes once from each block: no word is hot.
-3. The answers return to their block by (block, bucket, place) and meet the
+   holds its distinct words once and its documents as numbers of those words.
+   All blocks are one written table.
+2. Words are dealt by hash into buckets of about BUCKET_WORDS distinct words of
+   the corpus (an estimate from the blocks' least hashes sets their number, no
+   matter how many partitions a shuffle has), and a block sends each bucket one
+   packed record.  A bucket's records come one after another, so every distinct
+   word of the whole corpus is looked up in one task, once, and a task holds the
+   words of one bucket at a time.  A word that stands in every document comes
+   once from each block: no word is hot.
+3. The answers return to their block with the block's word numbers and meet the
    documents there; the table is bucketed by block, so documents stay in place.
 """
 
@@ -23,7 +27,9 @@ from pyspark.sql import functions as F
 
 from .scratch import bucketed
 
-BLOCK_BYTES, BLOCK_WORDS = 16 << 20, 1_000_000
+BLOCK_BYTES, BLOCK_WORDS, BUCKET_WORDS = 32 << 20, 500_000, 500_000
+#: Words that a record should hold at least, where there are blocks enough for that; and one hash in so many is kept for the estimate.
+RECORD_WORDS, KEPT_HASHES = 256, 512
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -58,7 +64,7 @@ def unpack_words(data: bytes) -> list[str]:
     return [text[a:b].decode() for a, b in zip([0, *ends], ends, strict=False)]
 
 
-class _Numbers(dict):
+class Numbers(dict):
     """Words get numbers in the order in which they first occur."""
 
     def __missing__(self, word: str) -> int:
@@ -71,24 +77,19 @@ def blocks(docs: DataFrame, split: Callable[[], Callable[[str], list[str]]], cou
 
     counted: a document is its distinct words and their counts, else its words in order.
     """
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
     def run(batches):
         from pyspark import TaskContext
 
         words_of, part, made = split(), TaskContext.get().partitionId(), 0
-        ids, sizes, lengths, seqs, counts, held, known = [], [], [], [], [], 0, _Numbers()
+        ids, sizes, lengths, seqs, counts, held, known = [], [], [], [], [], 0, Numbers()
 
         def closed():
-            of = np.fromiter((zlib.crc32(w.encode()) % buckets for w in known), np.uint32, len(known))
-            order, words = np.argsort(of, kind="stable").tolist(), list(known)
-            cuts = np.cumsum(np.bincount(of, minlength=buckets)).tolist() if len(of) else [0] * buckets
-            own = [[words[i] for i in order[a:b]] for a, b in zip([0, *cuts], cuts, strict=False)]
-            joined = lambda x: np.concatenate(x) if x else np.empty(0, np.uint32)
+            words, joined = list(known), lambda x: np.concatenate(x) if x else np.empty(0, np.uint32)
+            kept = [h for w in words if not (h := zlib.crc32(w.encode())) % KEPT_HASHES]
             return pa.RecordBatch.from_pydict({
                 "block": [(part << 32) + made], "doc_id": pa.array([ids], pa.list_(pa.int64())), "n_bytes": pa.array([sizes], pa.list_(pa.int64())),
                 "n_words": pa.array([lengths], pa.list_(pa.int64())), "seq": pa.array([pack(joined(seqs))], pa.binary()), "counts": pa.array([pack(joined(counts))], pa.binary()),
-                "bucket_of": pa.array([pack(of)], pa.binary()), "words": pa.array([[pack_words(w) if w else None for w in own]], pa.list_(pa.binary()))})
+                "n_distinct": pa.array([len(words)], pa.int64()), "kept": pa.array([kept], pa.list_(pa.int64())), "words": pa.array([pack_words(words)], pa.binary())})
 
         for batch in batches:
             for doc, size, text in zip(batch.column(0).to_pylist(), pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), batch.column(1), strict=True):
@@ -106,51 +107,78 @@ def blocks(docs: DataFrame, split: Callable[[], Callable[[str], list[str]]], cou
                 held += size
                 if held >= BLOCK_BYTES or len(known) >= BLOCK_WORDS:
                     yield closed()
-                    ids, sizes, lengths, seqs, counts, held, known, made = [], [], [], [], [], 0, _Numbers(), made + 1
+                    ids, sizes, lengths, seqs, counts, held, known, made = [], [], [], [], [], 0, Numbers(), made + 1
         if ids:
             yield closed()
 
-    schema = "block long, doc_id array<long>, n_bytes array<long>, n_words array<long>, seq binary, counts binary, bucket_of binary, words array<binary>"
+    schema = "block long, doc_id array<long>, n_bytes array<long>, n_words array<long>, seq binary, counts binary, n_distinct long, kept array<long>, words binary"
     return bucketed(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, schema), "word-blocks", "block")
 
 
-def answers(table: DataFrame, look_up: Callable[[], Callable[[list[str]], Iterable]], packed: Callable[[list], bytes]) -> DataFrame:
-    """block and answers (array of bucket and packed answers), for every block.
+def buckets_of(table: DataFrame) -> int:
+    """How many buckets the words of these blocks need."""
+    blocks, words = table.agg(F.count("*"), F.sum("n_distinct")).first()
+    distinct = KEPT_HASHES * table.select(F.explode("kept").alias("h")).agg(F.count_distinct("h")).first()[0]
+    cores = 4 * table.sparkSession.sparkContext.defaultParallelism
+    return max(1, -(-distinct // BUCKET_WORDS), min(cores, (words or 0) // max(1, blocks) // RECORD_WORDS))
+
+
+def asked(table: DataFrame, buckets: int) -> DataFrame:
+    """bucket, block, numbers (of the words in their block), words; bucket by bucket in each task."""
+
+    def run(batches):
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = unpack_words(data.as_py())
+                of = np.fromiter((zlib.crc32(w.encode()) // KEPT_HASHES % buckets for w in words), np.int64, len(words))
+                order = np.argsort(of, kind="stable")
+                ends = np.cumsum(np.bincount(of, minlength=buckets))
+                out = [(k, order[a:b]) for k, (a, b) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)) if b > a]
+                yield pa.RecordBatch.from_pydict({
+                    "bucket": pa.array([k for k, _ in out], pa.int32()), "block": pa.array([block] * len(out), pa.int64()),
+                    "numbers": pa.array([pack(np.diff(own, prepend=0)) for _, own in out], pa.binary()), "words": pa.array([pack_words([words[i] for i in own.tolist()]) for _, own in out], pa.binary())})
+
+    dealt = table.select("block", "words").mapInArrow(run, "bucket int, block long, numbers binary, words binary")
+    return dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+
+
+def answers(words: DataFrame, look_up: Callable[[], Callable[[list[str]], Iterable]], packed: Callable[[list], bytes]) -> DataFrame:
+    """block, numbers and answers (packed) of each record of asked().
 
     look_up() gives, on a worker, the function from distinct words to their answers.
     """
 
     def run(batches):
-        ask, known = look_up(), {}
+        ask, known, bucket = look_up(), {}, None
         for batch in batches:
             out = []
-            for data in batch.column("packed"):
-                words = unpack_words(data.as_py())
-                new = [w for w in words if w not in known]
+            for own, data in zip(batch.column("bucket").to_pylist(), batch.column("words"), strict=True):
+                if own != bucket:
+                    bucket, known = own, {}
+                found = unpack_words(data.as_py())
+                new = [w for w in found if w not in known]
                 known.update(zip(new, ask(new), strict=True))
-                out.append(packed([known[w] for w in words]))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "packed"])
+                out.append(packed([known[w] for w in found]))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("numbers"), pa.array(out, pa.binary())], names=["block", "numbers", "answers"])
 
-    buckets = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    asked = table.select("block", F.posexplode("words").alias("bucket", "packed")).where("packed is not null").repartition(buckets, "bucket")
-    back = asked.mapInArrow(run, "block long, bucket int, packed binary")
-    return back.groupBy("block").agg(F.collect_list(F.struct("bucket", "packed")).alias("answers"))
+    return words.mapInArrow(run, "block long, numbers binary, answers binary")
 
 
-def met(table: DataFrame, found: DataFrame, finish: Callable, schema: str) -> DataFrame:
-    """finish(block as a dict, [packed answers by bucket], order) -> record batch, for every block.
+def numbers_of(data: bytes) -> np.ndarray:
+    """The word numbers of a record, which are packed as gaps."""
+    return np.cumsum(unpack(data), dtype=np.int64)
 
-    order: the word number of each answer, bucket by bucket.
-    """
+
+def met(table: DataFrame, found: DataFrame, finish: Callable, schema: str) -> DataFrame:
+    """finish(block as a dict) -> record batch, for every block; its `found` holds the records that came back, without their block."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                of = unpack(row["bucket_of"])
-                packed = [a["packed"] for a in sorted(row["answers"] or [], key=lambda a: a["bucket"])]
-                yield finish(row, packed, np.argsort(of, kind="stable"))
+                yield finish(row | {"found": row["found"] or []})
 
-    return table.drop("words").join(found.hint("shuffle_hash"), "block", "left").mapInArrow(run, schema)
+    back = found.groupBy("block").agg(F.collect_list(F.struct(*(c for c in found.columns if c != "block"))).alias("found"))
+    return table.drop("words", "kept").join(back.hint("shuffle_hash"), "block", "left").mapInArrow(run, schema)
 
 
 def sums(values: np.ndarray, lengths: list[int]) -> np.ndarray:

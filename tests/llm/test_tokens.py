@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from sparkmill.llm import bpe, packing, rans, tokencount, tokenfile
+from sparkmill.llm import bpe, packing, rans, tokencount, tokenfile, worddict
 from sparkmill.llm.bytebpe import byte_bpe_50k, encoder
 from sparkmill.llm.scratch import new_path
 
@@ -132,6 +132,35 @@ def test_word_bpe_ids_and_text(spark, odd):
         assert ids[r["doc_id"]] == want and text[r["doc_id"]] == library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("words", [3, 100_000])
+def test_many_blocks_and_buckets(spark, odd, monkeypatch, words):
+    """Small blocks and buckets give what large ones give, and leave no table behind."""
+    import sentencepiece
+
+    tables = len(spark.catalog.listTables())
+    monkeypatch.setattr(worddict, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(worddict, "BUCKET_WORDS", words)
+    monkeypatch.setattr(worddict, "KEPT_HASHES", 1)
+    held = worddict.blocks(odd, lambda: tokencount.pre_tokens, True)
+    assert held.count() > 10 and (worddict.buckets_of(held) > 20) == (words == 3)
+    library, model = Tokenizer.from_file(WORDS), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    ids = [(d, library.encode(t or "", add_special_tokens=False).ids) for d, t in odd_rows()]
+    want = sorted((str(d), len(x), sha(" ".join(map(str, x))), sha(library.decode(x, skip_special_tokens=False))) for d, x in ids)
+    assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.digests(odd, WORDS).collect()) == want
+    got = sorted((str(r["doc_id"]), r["n_tokens"]) for r in tokencount.token_counts(odd, PIECES).collect())
+    assert got == sorted((str(d), len(model.encode(t or ""))) for d, t in odd_rows())
+    assert len(spark.catalog.listTables()) == tables
+
+
+def test_decoding_is_a_join(spark):
+    coded = spark.createDataFrame([(1, [320, 2368]), (1, [320, 2368]), (None, []), (2, None)], "doc_id long, ids array<int>")
+    got = bpe.decode(coded, WORDS)
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().toString()
+    text = Tokenizer.from_file(WORDS).decode([320, 2368], skip_special_tokens=False)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in got.collect()) == [("1", text), ("1", text), ("2", ""), ("None", "")]
+
+
 @pytest.mark.parametrize("text", ["", " ", "<|ENDOFTEXT|> a", "x\x85y\xa0z", "ﬁ Å é", "ẞ ſ K", "'s 't''ll", "a​b", "ὒ ΐ ᾳ"])
 def test_word_bpe_odd_texts(text):
     words = bpe.word_bpe(WORDS)
