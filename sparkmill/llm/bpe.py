@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import worddict
-from .scratch import materialise, table
+from .scratch import bucketed, table
 
 #: Letters on whose classes and cases all Unicode versions agree; no separators that only Python takes for space.
 _PLAIN = re.compile(r"[\x00-\x1b\x20-ɏ]*\Z")
@@ -79,9 +80,16 @@ def word_bpe(path: str) -> WordBpe:
     return _files[path]
 
 
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.fromiter(map(len, ids), np.uint32, len(ids)), np.fromiter(chain.from_iterable(ids), np.uint32)
+
+
 def _packed(ids: list[list[int]]) -> bytes:
-    flat = np.fromiter((i for x in ids for i in x), np.uint32)
-    return worddict.pack(np.concatenate([np.array([len(ids), *map(len, ids)], np.uint32), flat]))
+    return _packed_flat(*_flat(ids))
+
+
+def _packed_flat(sizes: np.ndarray, flat: np.ndarray) -> bytes:
+    return worddict.pack(np.concatenate([np.array([len(sizes)], np.uint32), sizes, flat]))
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -114,24 +122,24 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(word_bpe(path).pieces(), "id int, piece string").coalesce(1)
 
 
-def joined(coded: DataFrame, key: list[str], path: str) -> DataFrame:
-    """key and text: the pieces of column ids, found by a join with the table of pieces, with a space between.
+def joined(coded: DataFrame, key: list[str], carried: list[str], path: str) -> DataFrame:
+    """key, carried and text: the pieces of column ids, found by a join with the table of pieces, with a space between.
 
     The table has a row for each id of the vocabulary, which bounds what is broadcast.
     """
-    each = coded.select(*key, F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(piece_table(coded.sparkSession, path)), "id", "left")
-    return each.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), " ").alias("text"))
+    each = coded.select(*key, *carried, F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(piece_table(coded.sparkSession, path)), "id", "left")
+    return each.groupBy(*key).agg(*(F.first(c).alias(c) for c in carried), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), " ").alias("text"))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text of rows of doc_id and ids."""
     rows = encoded.select("doc_id", "ids").withColumn("row", F.monotonically_increasing_id())
-    return joined(rows, ["row", "doc_id"], path).select("doc_id", "text")
+    return joined(rows, ["row"], ["doc_id"], path).select("doc_id", "text")
 
 
-def _distinct(words: DataFrame, path: str) -> DataFrame:
-    """What asked() gives, as references to distinct words, and these words: bucket, block (null for distinct words),
-    numbers (of the block, or of the bucket), refs (numbers in the bucket) and ids."""
+def _distinct(words: DataFrame, buckets: int, path: str) -> DataFrame:
+    """What asked() gives, as references to distinct words, and these words: bucket, block and numbers (null for
+    distinct words), refs (numbers in the bucket), first (number of the first new word) and ids (of the new words)."""
 
     def run(batches):
         ask, known, bucket = word_bpe(path).encode, worddict.Numbers(), None
@@ -142,39 +150,85 @@ def _distinct(words: DataFrame, path: str) -> DataFrame:
                 first = len(known)
                 refs = np.fromiter(map(known.__getitem__, found := worddict.unpack_words(data)), np.uint32)
                 new = [w for w, r in zip(found, refs.tolist(), strict=True) if r >= first]
-                ids = ask(new)
+                sizes, flat = _flat(ask(new))
+                ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), flat.astype(np.int32))
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array([own, own], pa.int32()), "block": pa.array([block, None], pa.int64()), "numbers": pa.array([numbers, None], pa.binary()),
-                    "refs": pa.array([worddict.pack(refs), None], pa.binary()), "first": pa.array([None, first], pa.int32()), "ids": pa.array([None, ids], pa.list_(pa.list_(pa.int32())))})
+                    "refs": pa.array([worddict.pack(refs), None], pa.binary()), "first": pa.array([None, first], pa.int32()), "ids": pa.ListArray.from_arrays(pa.array([None, 0, len(ids)], pa.int32()), ids)})
 
-    return materialise(words.mapInArrow(run, "bucket int, block long, numbers binary, refs binary, first int, ids array<array<int>>"), "distinct-words")
+    # a task has whole buckets, so it writes one file for each, and what follows finds them in place
+    return bucketed(words.mapInArrow(run, "bucket int, block long, numbers binary, refs binary, first int, ids array<array<int>>"), "distinct-words", "bucket", buckets)
 
 
-def _decoded(distinct: DataFrame, buckets: int, path: str) -> DataFrame:
-    """bucket, n (in the bucket), ids and text of all distinct words; no row moves but to its bucket."""
-    words = distinct.where("block is null").repartition(buckets, "bucket")
+def _decoded(distinct: DataFrame, path: str) -> DataFrame:
+    """bucket, n (in the bucket), ids and text of all distinct words, which stay in their buckets."""
+    words = distinct.where("block is null")
     rows = words.select("bucket", "first", F.posexplode("ids").alias("k", "ids")).select("bucket", (F.col("first") + F.col("k")).alias("n"), "ids")
-    return joined(rows, ["bucket", "n", "ids"], path)
+    return joined(rows, ["bucket", "n"], ["ids"], path)
+
+
+def _chunked(words: DataFrame) -> DataFrame:
+    """bucket, refs, ids and pieces (packed): the rows of _decoded(), many to one."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column("bucket").to_numpy()
+            for a in (starts := np.flatnonzero(np.diff(own, prepend=own[0] - 1))).tolist():
+                rows = batch.slice(a, int(np.append(starts, len(own))[np.searchsorted(starts, a) + 1]) - a)
+                ids = rows.column("ids")
+                flat, ends = ids.flatten().to_numpy(), ids.value_lengths().to_numpy()
+                yield pa.RecordBatch.from_pydict({
+                    "bucket": pa.array([int(own[a])], pa.int32()), "refs": pa.array([worddict.pack(rows.column("n").to_numpy())], pa.binary()),
+                    "ids": pa.array([_packed_flat(ends.astype(np.uint32), flat.astype(np.uint32))], pa.binary()), "pieces": pa.array([worddict.pack_words(rows.column("text").to_pylist())], pa.binary())})
+
+    return words.select("bucket", "n", "ids", "text").mapInArrow(run, "bucket int, refs binary, ids binary, pieces binary")
+
+
+class _Words:
+    """The ids and pieces of one bucket's words, by number."""
+
+    def __init__(self, chunks: list[tuple[bytes, bytes, bytes]]):
+        refs, sizes, flat, text = [], [], [], []
+        for r, i, p in chunks:
+            refs.append(worddict.unpack(r))
+            n, ids = _unpacked(i)
+            sizes.append(n)
+            flat.append(ids)
+            text += worddict.unpack_raw(p)
+        order = np.argsort(np.concatenate(refs), kind="stable")
+        sizes, self.flat = np.concatenate(sizes).astype(np.int64), np.concatenate(flat)
+        self.sizes, self.starts = sizes[order], (np.cumsum(sizes) - sizes)[order]
+        self.text = [text[k] for k in order.tolist()]
+
+    def of(self, refs: np.ndarray) -> tuple[bytes, bytes]:
+        sizes = self.sizes[refs]
+        ends = np.cumsum(sizes)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.starts[refs] - (ends - sizes), sizes)
+        return _packed_flat(sizes.astype(np.uint32), self.flat[at]), worddict.pack_raw([self.text[k] for k in refs.tolist()])
 
 
 def _returned(distinct: DataFrame, buckets: int, path: str) -> DataFrame:
     """block, numbers, ids and pieces (packed) of each record of asked()."""
-    words = _decoded(distinct, buckets, path).select("bucket", F.lit(0).alias("kind"), "n", "ids", "text", *(F.lit(None).cast(t).alias(c) for c, t in (("block", "long"), ("numbers", "binary"), ("refs", "binary"))))
-    refs = distinct.where("block is not null").select("bucket", F.lit(1).alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in (("n", "int"), ("ids", "array<int>"), ("text", "string"))), "block", "numbers", "refs")
-    every = words.unionByName(refs).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    none = {"block": "long", "numbers": "binary", "ids": "binary", "pieces": "binary"}
+    words = _chunked(_decoded(distinct, path)).withColumns({c: F.lit(None).cast(none[c]) for c in ("block", "numbers")})
+    refs = distinct.where("block is not null").select("bucket", "block", "numbers", "refs").withColumns({c: F.lit(None).cast(none[c]) for c in ("ids", "pieces")})
+    # a bucket's words come before the references to them
+    every = words.unionByName(refs).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("block").asc_nulls_first())
 
     def run(batches):
-        bucket, ids, text = None, {}, {}
+        bucket, chunks, words = None, [], None
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for own, kind, n, i, t, block, numbers, refs in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "n", "ids", "text", "block", "numbers", "refs")), strict=True):
+            for own, block, numbers, refs, ids, pieces in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "numbers", "refs", "ids", "pieces")), strict=True):
                 if own != bucket:
-                    bucket, ids, text = own, {}, {}
-                if kind == 0:
-                    ids[n], text[n] = i, t
+                    bucket, chunks, words = own, [], None
+                if block is None:
+                    chunks.append((refs, ids, pieces))
                     continue
-                words = worddict.unpack(refs).tolist()
-                for to, x in zip(out, (block, numbers, _packed([ids[w] for w in words]), worddict.pack_words([text[w] for w in words])), strict=True):
+                words = words or _Words(chunks)
+                for to, x in zip(out, (block, numbers, *words.of(worddict.unpack(refs))), strict=True):
                     to.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "numbers", "ids", "pieces"])
 
@@ -186,7 +240,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     words' ids and decoded pieces."""
     held = worddict.blocks(docs, lambda: word_bpe(path).words, False, id_col, text_col)
     buckets = worddict.buckets_of(held)
-    found = _returned(_distinct(worddict.asked(held, buckets), path), buckets, path)
+    found = _returned(_distinct(worddict.asked(held, buckets), buckets, path), buckets, path)
 
     def finish(row):
         n, seq = row["n_distinct"], worddict.unpack(row["seq"])
@@ -196,8 +250,8 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             ends, decimal = np.cumsum(sizes, dtype=np.int64).tolist(), [b"%d" % i for i in flat.tolist()]
             own = worddict.numbers_of(record["numbers"])
             lengths[own] = sizes
-            for word, a, b, text in zip(own.tolist(), [0, *ends], ends, worddict.unpack_words(record["pieces"]), strict=False):
-                numbers[word], decoded[word] = b" ".join(decimal[a:b]), text.encode()
+            for word, a, b, text in zip(own.tolist(), [0, *ends], ends, worddict.unpack_raw(record["pieces"]), strict=False):
+                numbers[word], decoded[word] = b" ".join(decimal[a:b]), text
         some = lengths > 0  # a word without ids leaves no space
         ends, out = np.cumsum(row["n_words"]).tolist(), ([], [], [])
         for a, b in zip([0, *ends], ends, strict=False):

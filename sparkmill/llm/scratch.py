@@ -43,16 +43,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
-    """Like materialise(), dealt into as many buckets of key as a shuffle has
-    partitions: a join on key then moves only its other side.
+def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
+    """Like materialise(), dealt into buckets of key, by default as many as a shuffle
+    has partitions: a join on key then moves only its other side.
 
     Spark keeps buckets in a catalogue, so the table has a name there while it is
     written; the plan that is returned needs the files alone.
     """
     spark = df.sparkSession
     made = f"sparkmill_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.format("parquet").option("path", new_path(spark, name)).bucketBy(buckets, key).saveAsTable(made)
     try:
         return spark.table(made)

@@ -47,21 +47,28 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def pack_words(words: list[str]) -> bytes:
+    return pack_raw([w.encode() for w in words])
+
+
+def pack_raw(raw: list[bytes]) -> bytes:
     import zstandard
 
-    raw = [w.encode() for w in words]
-    sizes = np.array([len(w) for w in raw], "<u4").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(len(raw).to_bytes(4, "little") + sizes + b"".join(raw))
+    sizes = np.fromiter(map(len, raw), "<u4", len(raw)).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(len(raw).to_bytes(4, "little") + sizes + b"".join(raw))
 
 
-def unpack_words(data: bytes) -> list[str]:
+def unpack_raw(data: bytes) -> list[bytes]:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(data)
     n = int.from_bytes(raw[:4], "little")
     ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4)).tolist()
     text = raw[4 + 4 * n :]
-    return [text[a:b].decode() for a, b in zip([0, *ends], ends, strict=False)]
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def unpack_words(data: bytes) -> list[str]:
+    return [w.decode() for w in unpack_raw(data)]
 
 
 class Numbers(dict):
