@@ -2,9 +2,10 @@
 
 Ids of all documents, each with an end id, lie in ascending doc_id order in
 blocks of an asymmetric numeral system (see rans.py), all under one table of
-frequencies.  Texts are sorted by range and tokenised once, into blocks under
-tables of their own that go to the shared folder; the counts of all blocks make
-the table of the corpus, and the blocks are encoded again under it.
+frequencies.  Texts are sorted by ranges of (id, row), so that rows of one id are
+dealt to many tasks, and tokenised once, into compressed blocks that go to the
+shared folder; the counts of all blocks make the table of the corpus, under which
+the blocks are encoded.
 
 A file is a Parquet file whose rows are blocks, so that any store that Spark
 writes to will do and its commit protocol keeps the blocks of lost tasks out.  A
@@ -27,14 +28,28 @@ from pyspark.sql import functions as F
 
 from .bytebpe import byte_bpe_50k, encoder
 from .rans import Block, Table, encode
-from .scratch import materialise, new_path, table
+from .scratch import materialise, new_path, table, unused
 
 BLOCK_IDS = 1 << 20
 _BLOCK = "part int, block long, before long, n_ids long, doc_id array<long>, length array<long>, data binary"
 
 
+def pack(ids: np.ndarray) -> bytes:
+    """Ids in as few bytes each as all need, compressed."""
+    import zstandard
+
+    small = not len(ids) or int(ids.max()) < 1 << 16
+    return bytes([2 if small else 4]) + zstandard.ZstdCompressor(level=1).compress(ids.astype("<u2" if small else "<u4").tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}").astype(np.uint32)
+
+
 def _tokenised(docs: DataFrame, tokenizer: tuple, end_id: int, id_col: str, text_col: str, block_ids: int) -> DataFrame:
-    """Blocks of sorted documents under tables of their own, with each block's ids and their counts."""
+    """Blocks of sorted documents, their ids compressed, with the counts of each block's ids."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -48,7 +63,7 @@ def _tokenised(docs: DataFrame, tokenizer: tuple, end_id: int, id_col: str, text
             kinds = np.flatnonzero(counts)
             return pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "block": pa.array([made], pa.int64()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([held], pa.int64()),
-                "doc_id": pa.array([docs_], pa.list_(pa.int64())), "length": pa.array([lengths], pa.list_(pa.int64())), "data": pa.array([encode(every, Table.of_counts(counts))], pa.binary()),
+                "doc_id": pa.array([docs_], pa.list_(pa.int64())), "length": pa.array([lengths], pa.list_(pa.int64())), "data": pa.array([pack(every)], pa.binary()),
                 "kinds": pa.array([kinds], pa.list_(pa.int64())), "counts": pa.array([counts[kinds]], pa.list_(pa.int64()))})
 
         for batch in batches:
@@ -66,7 +81,9 @@ def _tokenised(docs: DataFrame, tokenizer: tuple, end_id: int, id_col: str, text
             yield closed()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    made = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(run, f"{_BLOCK}, kinds array<long>, counts array<long>")
+    row = unused(docs, "row")
+    rows = rows.withColumn(row, F.monotonically_increasing_id())
+    made = rows.repartitionByRange("doc_id", row).sortWithinPartitions("doc_id", row).mapInArrow(run, f"{_BLOCK}, kinds array<long>, counts array<long>")
     return materialise(made, "tokenised")
 
 
@@ -88,11 +105,11 @@ def write(docs: DataFrame, path: str, tokenizer: tuple, end_id: int = 0, id_col:
     def run(batches):
         shared = Table(freq)
         for batch in batches:
-            data = [encode(Block(d.as_py()).all(Table.of_counts(_by_id(k.as_py(), c.as_py()))), shared) for d, k, c in zip(batch.column("data"), batch.column("kinds"), batch.column("counts"), strict=True)]
+            data = [encode(unpack(d.as_py()), shared) for d in batch.column("data")]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("part", "block", "before", "n_ids", "doc_id", "length")), pa.array(data, pa.binary())],
                                              names=["part", "block", "before", "n_ids", "doc_id", "length", "data"])
 
-    made.mapInArrow(run, _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
+    made.drop("kinds", "counts").mapInArrow(run, _BLOCK).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFrame:

@@ -201,6 +201,26 @@ def test_token_files(spark, odd):
     assert sorted((str(r["doc_id"]), r["n_tokens"], r["ids_crc32"]) for r in rows) == sorted((str(d), len(byte_ids(t)), crc(byte_ids(t))) for d, t in odd_rows())
 
 
+def test_token_files_of_one_hot_id(spark):
+    """Rows of one id, or of none, are written by many tasks."""
+    docs = spark.range(4000).select(F.when(F.col("id") % 2 == 0, F.lit(None).cast("long")).otherwise(F.lit(7)).alias("doc_id"), F.concat(F.lit("words and words "), F.pmod("id", F.lit(3)).cast("string")).alias("text"), F.lit("clash").alias("row")).repartition(4)
+    path = new_path(spark, "test-hot-id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tokenfile.write(docs, path, byte_bpe_50k(), block_ids=500)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = spark.read.parquet(f"{path}/blocks").select("part", F.size("doc_id").alias("n")).groupBy("part").agg(F.sum("n").alias("n")).collect()
+    assert len(parts) == 4 and max(r["n"] for r in parts) < 2000
+    rows = sorted(tokenfile.read(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["start"] for r in rows] == np.cumsum([0, *(r["n_tokens"] for r in rows)])[:-1].tolist() and [r["doc_id"] for r in rows] == [None] * 2000 + [7] * 2000
+
+
+@pytest.mark.parametrize("ids", [[], [0], [65_535, 3], [65_536, 9]])
+def test_packed_ids(ids):
+    assert tokenfile.unpack(tokenfile.pack(np.array(ids, np.uint32))).tolist() == ids
+
+
 @pytest.mark.parametrize("n", [0, 1, 40, 5000, 150_000])
 def test_rans_round_trip(n):
     ids = (np.random.default_rng(n).zipf(1.2, n) % 9000).astype(np.uint32)
