@@ -7,7 +7,8 @@ keys, the sums meet in one small table, and the candidates move into the gap
 that holds the wanted byte.  Once each splitter is within its tolerance, every
 row is dealt to its place by one exchange.  Each shard is cut further, in the
 same search, into ranges of bounded size, so that numbering the slots is a
-window over ranges and never over a shard.
+window over ranges and never over a shard.  A range that is much larger because
+one id and text is repeated is numbered in parts.
 
 A shard border inside a group of equal texts moves to the group's nearer end if
 that costs no more than ``group_tolerance`` of a shard; larger groups are split
@@ -150,28 +151,39 @@ def shard(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, g
         first.append(seen[s])
         seen[s] += int(r)
     shard_np, first_np = np.array(shard_of, np.int32), np.array(first, np.int64)
+    parts_np = np.array([-(-int(r) // range_rows) if r > 2 * range_rows else 1 for r in rows], np.int64)
     names = full.columns if keep_text else slim.columns
 
     def deal(batches):
+        seen = 0
         for batch in batches:
             gap = between(split, *keys.columns(batch))
+            own = np.arange(seen, seen := seen + len(gap)) % parts_np[gap]
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(gap, pa.int32()), pa.array(shard_np[gap]), pa.array(first_np[gap])],
-                names=[*names, "_range", "shard", "_first"])
+                [*(batch.column(c) for c in names), pa.array(gap, pa.int32()), pa.array(own, pa.int32()), pa.array(shard_np[gap]), pa.array(first_np[gap])],
+                names=[*names, "_range", "_part", "shard", "_first"])
 
     source = full if keep_text else slim
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields)
-    place = Window.partitionBy("_range").orderBy("_h", "_id", "_crc")
-    return (source.mapInArrow(deal, f"{schema}, _range int, shard int, _first long")
-            .withColumn("slot", F.col("_first") + F.row_number().over(place) - 1)
+    dealt = source.mapInArrow(deal, f"{schema}, _range int, _part int, shard int, _first long")
+    if (parts_np > 1).any():
+        # parts go by the order of rows, which must be one and the same where they are counted and where they are numbered
+        dealt = materialise(dealt, "dealt")
+        sizes = dealt.where(F.col("_range").isin(np.flatnonzero(parts_np > 1).tolist())).groupBy("_range", "_part").agg(F.count("*").alias("_n"))
+        before = sizes.select("_range", "_part", F.coalesce(F.sum("_n").over(Window.partitionBy("_range").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+        # no more rows than there are ranges of range_rows rows
+        dealt = dealt.join(F.broadcast(before), ["_range", "_part"], "left").withColumn("_first", F.col("_first") + F.coalesce("_before", F.lit(0)))
+    place = Window.partitionBy("_range", "_part").orderBy("_h", "_id", "_crc")
+    return (dealt.withColumn("slot", F.col("_first") + F.row_number().over(place) - 1)
             .select(F.col("_id").alias("doc_id"), *([F.col("_text").alias("text")] if keep_text else []),
                     F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), "shard", "slot"))
 
 
 def op9_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 16 shards of near equal bytes."""
-    return shard(table(spark, sf_dir, "documents"), keep_text=False).select(
-        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """All documents, whole texts, in 16 shards of near equal bytes; sizes and checksums are those of the texts that arrived."""
+    text = F.coalesce("text", F.lit(""))
+    return shard(table(spark, sf_dir, "documents")).select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES = {"op9_histogram_sharding": op9_histogram_sharding}

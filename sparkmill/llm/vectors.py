@@ -9,12 +9,16 @@ line with a known chance; the threshold is the highest that such a pair still
 reaches with chance ``recall``, and closer pairs reach it more often.
 
 Equal vectors of one label become one representative first, so a thousand
-copies cost one vector.  A label's representatives are dealt by hash into blocks
-of bounded size; a task compares two blocks and returns each vector's number of
-links and a spanning forest of them, never the pairs.
+copies cost one vector.  A label's representatives are dealt by hash into blocks,
+SIDE of them where that keeps a block between LEAST_BLOCK and MOST_BLOCK vectors; a
+task compares two blocks and returns each vector's number of links and a spanning
+forest of them, never the pairs.  Windows on lines are not selective in many
+dimensions (one at the cosine limit holds about a fifth of all vectors), so work
+grows with the square of a label's size; the README has the figures.
 
 Vectors that are null, zero or hold null or non-finite components, and rows of
-null label or null id, link with nothing.  Vectors of different lengths do not
+null label or null id, link with nothing.  Components of any finite size are
+sound: vectors are scaled by their largest one first.  Vectors of different lengths do not
 link.  Repeated rows are copies.  An empty table gives an empty result.  Extra
 columns are ignored.
 """
@@ -31,8 +35,10 @@ from pyspark.sql import functions as F
 from .components import components
 from .scratch import materialise, table
 from .simhash import forest
+from .skew import join_by_key
 
-COSINE, LINES, WIDTH, RECALL, BLOCK, SEED = 0.93, 32, 1.0, 0.997, 4096, 7
+COSINE, LINES, WIDTH, RECALL, SEED = 0.93, 32, 1.0, 0.997, 7
+SIDE, LEAST_BLOCK, MOST_BLOCK = 16, 4096, 32_768
 
 
 def calibrated(cosine: float, lines: int, width: float, recall: float) -> tuple[float, int]:
@@ -72,6 +78,7 @@ def linked(left: np.ndarray, right: np.ndarray | None, cosine: float, lines: int
 def _links(cosine: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(pdf["embedding"]).astype(np.float64)
+        x /= np.abs(x).max(1, keepdims=True)  # squares of any finite components are finite then
         x /= np.sqrt((x * x).sum(1, keepdims=True))
         side, rep, copies = pdf["side"].to_numpy(), pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
         n, pairs = np.zeros(len(rep), np.int64), []
@@ -105,7 +112,7 @@ def _joined(pairs: list) -> list:
     return out + ([tuple(np.concatenate(x) for x in zip(*held, strict=True))] if held else [])
 
 
-def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     x = F.col("embedding")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vector_col).alias("embedding"))
@@ -114,7 +121,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
     good, rest = rows.where(sound), rows.where(~sound)
 
     reps = materialise(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding")), "representatives")
-    sizes = reps.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    size = F.lit(block) if block else F.least(F.greatest(F.ceil(F.col("n") / SIDE), F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK))
+    sizes = reps.groupBy("label", "dim").agg(F.count("*").alias("n")).select("label", "dim", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     dealt = (reps.join(sizes, ["label", "dim"]).withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -124,8 +132,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK,
     counts = found.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     roots = components(found.where("u <> v").select("u", "v"))
     known = (reps.join(counts, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-             .select("label", "embedding", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")))
-    linked_ = good.join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
+             .select(F.struct("label", "embedding").alias("vector"), "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id")))
+    known = materialise(known, "known-vectors")
+    own = good.select("vec_id", F.struct("label", "embedding").alias("vector"))
+    linked_ = join_by_key(own, known, "vector", "copies", good.count()).select("vec_id", "n_links", "component_id")
     alone = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked_.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 

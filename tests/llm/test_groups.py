@@ -186,6 +186,15 @@ def test_vectors(spark):
     assert sum(map(len, got.values())) == len(rows)
 
 
+def test_vectors_of_any_finite_size(spark):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal(16)
+    rows = [(k, [float(x) for x in (base + 0.01 * rng.standard_normal(16)) * scale], 0) for k, scale in enumerate([1e200, 1e-200, 1.0, 1e300, 5e-324 * 2**60])]
+    rows.append((9, [float(x) for x in rng.standard_normal(16) * 1e250], 0))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: (4, 0), 1: (4, 0), 2: (4, 0), 3: (4, 0), 4: (4, 0), 9: (0, 9)}
+
+
 def test_window_threshold_keeps_recall():
     rng = np.random.default_rng(8)
     x = rng.standard_normal((4000, 64))
@@ -219,3 +228,29 @@ def test_shards_are_even_and_keep_groups(spark):
     few = docs.where("id >= 1990") if "id" in docs.columns else docs.where("doc_id >= 1990")
     split = sharding.shard(few, range_rows=200).where("text = 'the same text every time'").select("shard").distinct().count()
     assert split == 1
+
+
+def test_one_row_many_times_is_numbered_in_parts(spark):
+    docs = spark.range(9000).select(F.when(F.col("id") < 5000, 7).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") < 5000, "again and again").otherwise(F.sha2(F.col("id").cast("string"), 256)).alias("text")).repartition(4)
+    got = sharding.shard(docs, shards=4, range_rows=300)
+    plan = got._jdf.queryExecution().toString()
+    assert "_part" in plan
+    by = defaultdict(list)
+    for r in got.collect():
+        by[r["shard"]].append(r["slot"])
+    assert all(sorted(own) == list(range(len(own))) for own in by.values()) and sum(map(len, by.values())) == 9000
+
+
+def test_splitters_like_plain_counting(spark):
+    """Each shard's bytes are those between its splitters, and no splitter could be a row nearer."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), F.pmod(F.xxhash64("id"), F.lit(90)).cast("int")).alias("text")).repartition(3)
+    rows = sharding.shard(docs, shards=5, tolerance=1e-9, group_tolerance=0.0, range_rows=100).collect()
+    order = {r["doc_id"]: (r["h"], r["doc_id"]) for r in docs.select("doc_id", (F.xxhash64("text")).alias("h")).collect()}
+    rows.sort(key=lambda r: order[r["doc_id"]])
+    assert [r["shard"] for r in rows] == sorted(r["shard"] for r in rows)
+    assert [r["slot"] for r in rows] == [k for s in range(5) for k in range(sum(r["shard"] == s for r in rows))]
+    total, at = sum(r["size"] for r in rows), 0
+    for s in range(4):
+        own = [r["size"] for r in rows if r["shard"] == s]
+        at += sum(own)
+        assert abs(at - total * (s + 1) / 5) <= max(r["size"] for r in rows) / 2 + 1
