@@ -2,14 +2,16 @@
 
 Every task writes one archive: members (here grey 8-bit PNG images, one for each
 text), a directory of fixed-size entries, a sparse index and a footer.  Tasks
-return the names of finished archives, and that list is written as a table, so
-what a lost or repeated task left behind is never read.
+return the names and indexes of finished archives, and these are written as a
+table, so what a lost or repeated task left behind is never read.
 
-The data source reads the footers, cuts every archive along its sparse index
-into byte ranges of about ``range_bytes`` and makes each range a partition.  A
+The data source gets the path of that table, opens no archive to plan, cuts every
+archive along its index into byte ranges and makes each range a partition.  Ranges
+are of RANGE_BYTES, or of more where there would be over MOST_RANGES of them.  A
 partition streams its members in Arrow batches; members are read in runs, and a
 member that comes back short or with a wrong checksum is read again by its own
-offset, alone, before the task gives up.
+offset, alone, before the task gives up.  An archive's own footer and index are
+enough to read it without the table.
 
 A text becomes its UTF-8 bytes, filled with bytes 255 to a positive multiple of
 576, as rows of 576 samples.  Null and empty texts are one row of 255.  Repeated
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .scratch import materialise, new_path, table
+from .scratch import new_path, table
 
 ROW, TILE, FILL = 576, 24, 255
 #: doc_id, is it null, offset, length, checksum, bytes before filling
@@ -42,7 +44,7 @@ ENTRY = "<qBQQIQ"
 #: place of the directory, members, place of the index, index entries, magic
 FOOTER, MAGIC = "<QQQQ8s", b"MEMBARC1"
 INDEX = "<QQ"
-INDEX_BYTES, RANGE_BYTES, BATCH_BYTES, ATTEMPTS = 1 << 20, 16 << 20, 4 << 20, 4
+INDEX_BYTES, RANGE_BYTES, MOST_RANGES, BATCH_BYTES, ATTEMPTS = 1 << 20, 16 << 20, 100_000, 4 << 20, 4
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -97,11 +99,18 @@ def feature(samples: np.ndarray) -> str:
     return f"{bits}-{1000 * total // samples.size}"
 
 
+def store_of(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path as Spark writes it, and the path there."""
+    scheme, found, rest = uri.partition("://")
+    # the scheme of S3 goes by three names in Hadoop and by one here; a path without scheme is local
+    return fs.FileSystem.from_uri(f"s3://{rest}" if found and scheme in ("s3a", "s3n") else uri)
+
+
 def write_archives(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The table of finished archives: archive, members, bytes."""
+    """The table of finished archives: archive, members, bytes, marks (member and offset, from the index); written to path/archives."""
 
     def run(batches):
-        store, root = fs.FileSystem.from_uri(path)
+        store, root = store_of(path)
         store.create_dir(root, recursive=True)
         name, entries, index, at, marked = f"{uuid.uuid4().hex}.members", [], [], 0, -INDEX_BYTES
         with store.open_output_stream(f"{root}/{name}") as out:
@@ -119,17 +128,29 @@ def write_archives(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 out.write(x)
             out.write(b"".join(index))
             out.write(struct.pack(FOOTER, at, len(entries), at + struct.calcsize(ENTRY) * len(entries), len(index), MAGIC))
-        yield pa.RecordBatch.from_pydict({"archive": [f"{path}/{name}"], "members": [len(entries)], "bytes": [at]})
+        yield pa.RecordBatch.from_pydict({"archive": [f"{path}/{name}"], "members": [len(entries)], "bytes": [at], "marks": pa.array([b"".join(index)], pa.binary())})
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    return materialise(rows.mapInArrow(run, "archive string, members long, bytes long"), "archives")
+    rows.mapInArrow(run, "archive string, members long, bytes long, marks binary").write.parquet(f"{path}/archives")
+    return docs.sparkSession.read.parquet(f"{path}/archives")
 
 
 def _open(uri: str):
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = store_of(uri)
     return store.open_input_file(path)
 
 
+def index_of(archive: str) -> dict:
+    """What the table of archives says of one, from its own footer and index."""
+    with _open(archive) as f:
+        f.seek(f.size() - struct.calcsize(FOOTER))
+        entries_at, members, index_at, marks, magic = struct.unpack(FOOTER, f.read(struct.calcsize(FOOTER)))
+        if magic != MAGIC:
+            raise ValueError(f"{archive} is no archive of members")
+        f.seek(index_at)
+        return {"archive": archive, "members": members, "bytes": entries_at, "marks": f.read(struct.calcsize(INDEX) * marks)}
+
+
 @dataclass
 class Range(InputPartition):
     """Members first to last of an archive; their entries and bytes."""
@@ -140,33 +161,25 @@ class Range(InputPartition):
     last: int
 
 
+def ranges(archive: dict, size: int) -> Iterator[Range]:
+    """The byte ranges of an archive, of about this size."""
+    start = None
+    for member, place in [*struct.iter_unpack(INDEX, archive["marks"]), (archive["members"], archive["bytes"])]:
+        if start is None:
+            start = (member, place)
+        elif place - start[1] >= size or member == archive["members"]:
+            if member > start[0]:
+                yield Range(archive["archive"], archive["bytes"], start[0], member)
+            start = (member, place)
+
+
 class MemberReader(DataSourceReader):
-    def __init__(self, archives: list[str], range_bytes: int):
+    def __init__(self, archives: list[dict], range_bytes: int):
         self.archives, self.range_bytes = archives, range_bytes
 
     def partitions(self) -> list[Range]:
-        from concurrent.futures import ThreadPoolExecutor
-
-        with ThreadPoolExecutor(16) as pool:
-            return [r for ranges in pool.map(self._ranges, self.archives) for r in ranges]
-
-    def _ranges(self, archive: str) -> list[Range]:
-        with _open(archive) as f:
-            f.seek(f.size() - struct.calcsize(FOOTER))
-            entries_at, members, index_at, marks, magic = struct.unpack(FOOTER, f.read(struct.calcsize(FOOTER)))
-            if magic != MAGIC:
-                raise ValueError(f"{archive} is no archive of members")
-            f.seek(index_at)
-            index = list(struct.iter_unpack(INDEX, f.read(struct.calcsize(INDEX) * marks)))
-        out, start = [], None
-        for member, place in [*index, (members, entries_at)]:
-            if start is None:
-                start = (member, place)
-            elif place - start[1] >= self.range_bytes or member == members:
-                if member > start[0]:
-                    out.append(Range(archive, entries_at, start[0], member))
-                start = (member, place)
-        return out
+        size = max(self.range_bytes, sum(a["bytes"] for a in self.archives) // MOST_RANGES)
+        return [r for a in self.archives for r in ranges(a, size)]
 
     def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark asks once where there are no partitions
@@ -214,7 +227,7 @@ def again(archive: str, offset: int, length: int, checksum: int, attempts: int =
 
 
 class MemberSource(DataSource):
-    """spark.read.format("members").option("archives", names joined by line breaks).load()"""
+    """spark.read.format("members").option("table", the path of a table of archives).load()"""
 
     @classmethod
     def name(cls) -> str:
@@ -224,14 +237,17 @@ class MemberSource(DataSource):
         return "doc_id long, n_bytes long, media binary"
 
     def reader(self, schema) -> DataSourceReader:
-        return MemberReader([a for a in self.options.get("archives", "").split("\n") if a], int(self.options.get("range_bytes", RANGE_BYTES)))
+        from pyarrow import parquet
+
+        store, path = store_of(self.options["table"])
+        archives = [r for r in parquet.read_table(path, filesystem=store, columns=["archive", "members", "bytes", "marks"]).to_pylist() if r["members"]]
+        return MemberReader(archives, int(self.options.get("range_bytes", RANGE_BYTES)))
 
 
-def read_archives(spark: SparkSession, archives: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """doc_id, n_bytes, media of all members of the archives listed (one name for each task that wrote)."""
+def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """doc_id, n_bytes, media of all members of the archives that write_archives() wrote to path."""
     spark.dataSource.register(MemberSource)
-    names = [r[0] for r in archives.where("members > 0").select("archive").collect()]
-    return spark.read.format("members").option("archives", "\n".join(names)).option("range_bytes", str(range_bytes)).load()
+    return spark.read.format("members").option("table", f"{path}/archives").option("range_bytes", str(range_bytes)).load()
 
 
 def described(members: DataFrame) -> DataFrame:
@@ -257,7 +273,9 @@ def described(members: DataFrame) -> DataFrame:
 
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as images in archives, read back and described."""
-    return described(read_archives(spark, write_archives(table(spark, sf_dir, "documents"), new_path(spark, "media"))))
+    path = new_path(spark, "media")
+    write_archives(table(spark, sf_dir, "documents"), path)
+    return described(read_archives(spark, path))
 
 
 QUERIES = {"op7_media_columns": op7_media_columns}

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -284,8 +286,10 @@ def test_toxicity_of_odd_tables(spark, abuse, odd, none):
 
 
 def test_media(spark, odd, none):
-    archives = media.write_archives(odd, new_path(spark, "test-media"))
-    got = media.described(media.read_archives(spark, archives, 2000)).collect()
+    path = new_path(spark, "test-media")
+    archives = media.write_archives(odd, path)
+    assert all(media.index_of(r["archive"]) == r.asDict() for r in archives.collect())
+    got = media.described(media.read_archives(spark, path, 2000)).collect()
     want = Counter()
     for d, t in odd_rows():
         raw = (t or "").encode()
@@ -293,11 +297,12 @@ def test_media(spark, odd, none):
         want[str(d), len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:])] += 1
     assert Counter((str(r["doc_id"]), r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got) == want
     assert len({(r["payload_sha256"], r["media_sha256"], r["feature"], r["media_bytes"]) for r in got}) == len({r["payload_sha256"] for r in got})
-    assert media.read_archives(spark, media.write_archives(none, new_path(spark, "test-media"))).isEmpty()
+    media.write_archives(none, path + "-none")
+    assert media.read_archives(spark, path + "-none").isEmpty()
 
 
 def test_media_reads_members_again(spark, odd, monkeypatch):
-    archives = [r[0] for r in media.write_archives(odd.coalesce(1), new_path(spark, "test-media")).where("members > 0").collect()]
+    archives = [r.asDict() for r in media.write_archives(odd.coalesce(1), new_path(spark, "test-media")).where("members > 0").collect()]
     reader = media.MemberReader(archives, 1 << 20)
     want = [b.to_pydict() for p in reader.partitions() for b in reader.read(p)]
     real, calls = media._open, []
@@ -329,7 +334,24 @@ def test_media_reads_members_again(spark, odd, monkeypatch):
     assert [b.to_pydict() for b in media.MemberReader(archives, 1 << 20).read(part)] == want[:1]
     assert len(calls) > 1
     with pytest.raises(OSError, match="wrong bytes"):
-        media.again(archives[0], 0, 10, 0, attempts=2)
+        media.again(archives[0]["archive"], 0, 10, 0, attempts=2)
+
+
+def test_ranges_of_archives():
+    marks = [(k * 10, k * 1000) for k in range(50)]
+    archive = {"archive": "x", "members": 495, "bytes": 49_500, "marks": b"".join(struct.pack(media.INDEX, *m) for m in marks)}
+    for size in (1, 3000, 10**9):
+        found = list(media.ranges(archive, size))
+        assert [r.first for r in found] == [0, *(r.last for r in found[:-1])] and found[-1].last == 495 and all(r.last > r.first for r in found)
+    assert len(list(media.ranges(archive, 10**9))) == 1 and len(list(media.ranges(archive, 1))) == 50
+    many = [archive | {"bytes": 1 << 50}]
+    assert len(media.MemberReader(many, 1).partitions()) <= 50
+
+
+def test_stores_by_their_schemes(tmp_path, monkeypatch):
+    assert media.store_of(f"file://{tmp_path}")[1] == str(tmp_path) == media.store_of(str(tmp_path))[1]
+    monkeypatch.setattr(media, "fs", SimpleNamespace(FileSystem=SimpleNamespace(from_uri=lambda uri: (None, uri))))
+    assert [media.store_of(f"{s}://bucket/folder")[1] for s in ("s3", "s3a", "s3n", "hdfs", "gs")] == ["s3://bucket/folder"] * 3 + ["hdfs://bucket/folder", "gs://bucket/folder"]
 
 
 def test_png_checks():
