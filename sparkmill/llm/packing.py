@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytebpe import byte_bpe_50k, encoder
+from .bytebpe import byte_bpe_50k, encoder, pack_ids, unpack_ids
 from .scratch import materialise, table, unused
 
 CAPACITY, GROUP_SIZE, OPEN_BINS = 2048, 16_384, 512
@@ -37,8 +37,8 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer: tuple, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = True,
-           id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (of little-endian uint32 ids) and, if kept, ids."""
+           id_col: str = "doc_id", text_col: str = "text", compressed: bool = False) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 (of little-endian uint32 ids) and, if kept, ids (these, or as pack_ids() gives them)."""
 
     def run(batches):
         bpe = encoder(*tokenizer)
@@ -49,7 +49,8 @@ def pieces(docs: DataFrame, tokenizer: tuple, end_id: int = 0, capacity: int = C
                 ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for k, (start, n) in enumerate(cut(len(ids), capacity)):
                     raw = ids[start : start + n].tobytes()
-                    row = (doc, k, start, n, zlib.crc32(raw), raw if keep_ids else None)
+                    kept = None if not keep_ids else pack_ids(ids[start : start + n]) if compressed else raw
+                    row = (doc, k, start, n, zlib.crc32(raw), kept)
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
                     held += 64 + keep_ids * len(raw)
@@ -103,8 +104,9 @@ class BestFit:
         return at, self.capacity - free
 
 
-def best_fit(parts: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZE, open_bins: int = OPEN_BINS) -> DataFrame:
-    """Adds sequence_id and offset to rows of doc_id, piece, length and whatever else they carry.
+def best_fit(parts: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP_SIZE, open_bins: int = OPEN_BINS, expand: str | None = None) -> DataFrame:
+    """Adds sequence_id and offset to rows of doc_id, piece, length and whatever else they carry.  expand: a column of
+    compressed ids, which come out as they are.
 
     parts is counted once to set the number of groups: give it materialised, so
     that a row has its number again if a task is repeated.
@@ -125,8 +127,11 @@ def best_fit(parts: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP
                 at, offset = packer.place(n)
                 ids.append((g << 32) + at)
                 offsets.append(offset)
+            columns = [batch.column(c) for c in names]
+            if expand:
+                columns[names.index(expand)] = pa.array([unpack_ids(x.as_py()).astype("<u4").tobytes() for x in batch.column(expand)], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names), pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())],
+                [*columns, pa.array(ids, pa.int64()), pa.array(offsets, pa.int64())],
                 names=[*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields)
@@ -135,7 +140,8 @@ def best_fit(parts: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP
 
 def pack(docs: DataFrame, tokenizer: tuple, end_id: int = 0, capacity: int = CAPACITY, keep_ids: bool = True, **columns) -> DataFrame:
     """Documents to packed pieces, with their ids if keep_ids."""
-    return best_fit(materialise(pieces(docs, tokenizer, end_id, capacity, keep_ids, **columns), "pieces"), capacity)
+    parts = materialise(pieces(docs, tokenizer, end_id, capacity, keep_ids, compressed=True, **columns), "pieces")
+    return best_fit(parts, capacity, expand="ids" if keep_ids else None)
 
 
 def digests(packed: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bytebpe import byte_bpe_50k, encoder
+from .bytebpe import byte_bpe_50k, encoder, pack_ids, unpack_ids
 from .rans import Block, Table, encode
 from .scratch import materialise, new_path, table, unused
 
@@ -34,20 +34,6 @@ BLOCK_IDS = 1 << 20
 _BLOCK = "part int, block long, before long, n_ids long, doc_id array<long>, length array<long>, data binary"
 
 
-def pack(ids: np.ndarray) -> bytes:
-    """Ids in as few bytes each as all need, compressed."""
-    import zstandard
-
-    small = not len(ids) or int(ids.max()) < 1 << 16
-    return bytes([2 if small else 4]) + zstandard.ZstdCompressor(level=1).compress(ids.astype("<u2" if small else "<u4").tobytes())
-
-
-def unpack(data: bytes) -> np.ndarray:
-    import zstandard
-
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}").astype(np.uint32)
-
-
 def _tokenised(docs: DataFrame, tokenizer: tuple, end_id: int, id_col: str, text_col: str, block_ids: int) -> DataFrame:
     """Blocks of sorted documents, their ids compressed, with the counts of each block's ids."""
 
@@ -63,7 +49,7 @@ def _tokenised(docs: DataFrame, tokenizer: tuple, end_id: int, id_col: str, text
             kinds = np.flatnonzero(counts)
             return pa.RecordBatch.from_pydict({
                 "part": pa.array([part], pa.int32()), "block": pa.array([made], pa.int64()), "before": pa.array([before], pa.int64()), "n_ids": pa.array([held], pa.int64()),
-                "doc_id": pa.array([docs_], pa.list_(pa.int64())), "length": pa.array([lengths], pa.list_(pa.int64())), "data": pa.array([pack(every)], pa.binary()),
+                "doc_id": pa.array([docs_], pa.list_(pa.int64())), "length": pa.array([lengths], pa.list_(pa.int64())), "data": pa.array([pack_ids(every)], pa.binary()),
                 "kinds": pa.array([kinds], pa.list_(pa.int64())), "counts": pa.array([counts[kinds]], pa.list_(pa.int64()))})
 
         for batch in batches:
@@ -105,7 +91,7 @@ def write(docs: DataFrame, path: str, tokenizer: tuple, end_id: int = 0, id_col:
     def run(batches):
         shared = Table(freq)
         for batch in batches:
-            data = [encode(unpack(d.as_py()), shared) for d in batch.column("data")]
+            data = [encode(unpack_ids(d.as_py()), shared) for d in batch.column("data")]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("part", "block", "before", "n_ids", "doc_id", "length")), pa.array(data, pa.binary())],
                                              names=["part", "block", "before", "n_ids", "doc_id", "length", "data"])
 

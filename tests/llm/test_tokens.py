@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sparkmill.llm import bpe, packing, rans, tokencount, tokenfile, worddict
-from sparkmill.llm.bytebpe import byte_bpe_50k, encoder
+from sparkmill.llm.bytebpe import byte_bpe_50k, encoder, pack_ids, unpack_ids
 from sparkmill.llm.scratch import new_path
 
 from .conftest import odd_rows
@@ -218,7 +218,7 @@ def test_token_files_of_one_hot_id(spark):
 
 @pytest.mark.parametrize("ids", [[], [0], [65_535, 3], [65_536, 9]])
 def test_packed_ids(ids):
-    assert tokenfile.unpack(tokenfile.pack(np.array(ids, np.uint32))).tolist() == ids
+    assert unpack_ids(pack_ids(np.array(ids, np.uint32))).tolist() == ids
 
 
 @pytest.mark.parametrize("n", [0, 1, 40, 5000, 150_000])
