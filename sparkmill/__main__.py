@@ -1,11 +1,14 @@
-"""python -m sparkmill audit | split | evaluate"""
+"""python -m sparkmill audit | split | train | predict | evaluate"""
 
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import SparkSession
 
+from .operators import triage
+from .operators.training import EpochSettings
 from .plans import entries
 from .sources.sinks import write_csv
 
@@ -25,6 +28,14 @@ def main(arguments: list[str] | None = None) -> None:
     evaluate.add_argument("--scores", required=True)
     evaluate.add_argument("--output", required=True)
     evaluate.add_argument("--threshold", type=float, default=0.5)
+    train = commands.add_parser("train", help="train a head on an image tree with train and validation folders")
+    train.add_argument("--data-dir", required=True)
+    train.add_argument("--output", required=True)
+    train.add_argument("--epochs", type=int, default=12)
+    predict = commands.add_parser("predict", help="the class of one image file")
+    predict.add_argument("--model-path", required=True)
+    predict.add_argument("--image", required=True)
+    predict.add_argument("--threshold", type=float, default=0.5)
     given = parser.parse_args(arguments)
     spark = SparkSession.builder.appName("sparkmill").getOrCreate()
     if given.command == "audit":
@@ -36,6 +47,12 @@ def main(arguments: list[str] | None = None) -> None:
             write_csv(found.manifest, given.manifest_output)
     elif given.command == "split":
         entries.clean_split(spark, given.data_dir, given.output, given.seed).groupBy("split", "label").count().show()
+    elif given.command == "train":
+        for record in entries.train(spark, given.data_dir, given.output, EpochSettings(epochs=given.epochs)):
+            print(json.dumps(record))
+    elif given.command == "predict":
+        found = triage.predict_file(spark, given.image, given.model_path, given.threshold)
+        print(f"{found['label']}, confidence {found['confidence']:.1%}; a person has to confirm it")
     else:
         entries.evaluate(spark.read.parquet(given.scores), given.output, threshold=given.threshold).show(50)
 

@@ -10,12 +10,12 @@ from ..functions.paths import digest
 UNKNOWN = "unknown"
 
 
-def manifest(files: DataFrame, path: Column, split: Column, label: Column, content: Column) -> DataFrame:
-    """filepath, split, label, label_source, group_id, sha256 of every file."""
+def manifest(files: DataFrame, path: Column, split: Column, label: Column, content: Column | None = None, sha256: Column | None = None) -> DataFrame:
+    """filepath, split, label, label_source, group_id, sha256 of every file, from its content or a digest already made."""
     named = label.isNotNull() & (label != "")
     return files.select(
         path.alias("filepath"), split.alias("split"), F.when(named, label).otherwise(UNKNOWN).alias("label"),
-        F.when(named, "class_folder").otherwise("unverified_filename_prefix").alias("label_source"), F.lit(UNKNOWN).alias("group_id"), digest(content).alias("sha256"))
+        F.when(named, "class_folder").otherwise("unverified_filename_prefix").alias("label_source"), F.lit(UNKNOWN).alias("group_id"), (digest(content) if sha256 is None else sha256).alias("sha256"))
 
 
 def class_counts(files: DataFrame, split: str = "split", label: str = "label") -> DataFrame:
@@ -29,6 +29,12 @@ def split_counts(files: DataFrame, split: str = "split", label: str = "label") -
     return files.groupBy(F.col(split).alias("split"), named.alias("label")).agg(F.count(named).alias("n_files"))
 
 
+def with_folders(counts: DataFrame, folders: DataFrame) -> DataFrame:
+    """split_counts() with the classes of folders (split, label) that hold no file, and the splits that hold none."""
+    bare = folders.join(counts.select("split", "label"), (folders["split"].eqNullSafe(counts["split"])) & (folders["label"].eqNullSafe(counts["label"])), "left_anti")
+    return counts.unionByName(bare.select("split", "label", F.lit(0).cast("long").alias("n_files")))
+
+
 def unreadable(files: DataFrame, readable: Column, split: str, path: str) -> DataFrame:
     """split and path of every file that cannot be read: one row each, however many there are."""
     return files.where(~F.coalesce(readable, F.lit(False))).select(F.col(split).alias("split"), F.col(path).alias("filepath"))
@@ -69,11 +75,16 @@ def warnings(counts: DataFrame, spread: DataFrame) -> DataFrame:
     return odd.unionByName(kinds).unionByName(crossing)
 
 
-def report(counts: DataFrame, unread: DataFrame) -> DataFrame:
-    """split and report: each split's classes, counts and number of unreadable files as JSON; counts as in class_sets()."""
+def report(counts: DataFrame, unread: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """split and report: each split's classes, counts and number of unreadable files as JSON; counts as in class_sets().
+
+    paths (split, path): the folders of the splits, which then are in the report.
+    """
     lost = unread.groupBy(F.col("split").alias("_split")).agg(F.count("*").alias("unreadable"))
     by_split = counts.groupBy("split").agg(F.array_sort(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "n_files")))).alias("c"))
-    body = F.struct(F.col("split"), F.col("c.label").alias("classes"), F.map_from_arrays("c.label", "c.n_files").alias("class_counts"), F.coalesce("unreadable", F.lit(0)).alias("unreadable_images"))
+    if paths is not None:
+        by_split = by_split.join(F.broadcast(paths), "split", "left")
+    body = F.struct(F.col("split"), *([F.col("path")] if paths is not None else []), F.col("c.label").alias("classes"), F.map_from_arrays("c.label", "c.n_files").alias("class_counts"), F.coalesce("unreadable", F.lit(0)).alias("unreadable_images"))
     return by_split.join(lost, F.col("split").eqNullSafe(F.col("_split")), "left").select("split", F.to_json(body).alias("report"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import predicted, ratio
+from ..functions.numbers import predicted, ratio, valid_probability
 
 THRESHOLD = 0.5
 #: Scores are summed in so many equal ranges before they are ranked inside them.
@@ -44,7 +44,9 @@ def figures(counts: DataFrame, names: tuple[str, str] = ("Normal", "Pothole")) -
 
     normal, pothole = of(tn, fn, fp), of(tp, fp, fn)
     rows = [(m, c, v) for c, x in zip(names, (normal, pothole), strict=True) for m, v in x.items()]
-    rows += [(m, "macro avg", (normal[m] + pothole[m]) / 2) for m in ("precision", "recall", "f1")]
+    # a class that is neither true nor guessed of any row has no part in the mean
+    there = [(c > 0).cast("double") for c in (tn + fn + fp, tp + fp + fn)]
+    rows += [(m, "macro avg", ratio(normal[m] * there[0] + pothole[m] * there[1], there[0] + there[1])) for m in ("precision", "recall", "f1")]
     rows += [(m, "weighted avg", ratio(normal[m] * normal["support"] + pothole[m] * pothole["support"], n)) for m in ("precision", "recall", "f1")]
     rows.append(("accuracy", "all", ratio(tp + tn, n)))
     return counts.select(F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.lit(c).alias("class_name"), F.bround(v, 6).alias("value")) for m, c, v in rows))))
@@ -55,11 +57,12 @@ def roc_auc(rows: DataFrame, actual: Column, p: Column) -> DataFrame:
 
     Rows meet as one row for each score; ranks are found inside ranges of the
     score and moved by the ranges' sums, so no window spans the table.  Without
-    rows of both classes it is null.
+    rows of both classes it is null.  Rows without a probability do not count,
+    as in confusion().
     """
-    score = rows.select(p.alias("p"), actual.alias("y")).where(F.col("p").isNotNull() & F.col("y").isNotNull() & ~F.isnan("p"))
+    score = rows.select(p.alias("p"), actual.alias("y")).where(valid_probability(F.col("p")) & F.col("y").isNotNull())
     by_score = score.groupBy("p").agg(F.sum("y").cast("double").alias("np"), F.sum(1 - F.col("y")).cast("double").alias("nn"))
-    by_score = by_score.withColumn("range", F.floor(F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)) * SCORE_RANGES))
+    by_score = by_score.withColumn("range", F.floor(F.col("p") * SCORE_RANGES))
     sums = by_score.groupBy("range").agg(F.sum("nn").alias("range_nn"))
     before = sums.select("range", F.coalesce(F.sum("range_nn").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"))
     inside = F.sum("nn").over(Window.partitionBy("range").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)) - F.col("nn")

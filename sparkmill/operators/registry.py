@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import EXPERIMENT
+from ..sources.files import store
 
 
 def upsert(registry: DataFrame, records: DataFrame, key: str = "run_name") -> DataFrame:
@@ -19,5 +22,18 @@ def best_valid(registry: DataFrame, metric: str = "macro_f1") -> DataFrame:
 
 
 def save(registry: DataFrame, path: str) -> None:
-    """Writes a new folder: Spark cannot write over what it still reads, so callers swap."""
+    """Writes a new folder; an existing one is an error."""
     registry.select(EXPERIMENT.fieldNames()).coalesce(1).write.mode("errorifexists").option("header", True).csv(path)
+
+
+def replace(registry: DataFrame, path: str) -> None:
+    """Writes the registry beside path, then puts it in path's place: what is there may be what registry still reads."""
+    spark, new = registry.sparkSession, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    save(registry, new)
+    files, at = store(spark, path)
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{new}.old")
+    if files.exists(at) and not files.rename(at, old):
+        raise OSError(f"{path} cannot be moved")
+    if not files.rename(spark._jvm.org.apache.hadoop.fs.Path(new), at):
+        raise OSError(f"{new} cannot be put in place of {path}")
+    files.delete(old, True)

@@ -18,14 +18,16 @@ from ..schema import EXPERIMENT
 
 NAMES = ("Normal", "Pothole")
 PAGE_SUFFIXES = (".html",)
+#: Characters of a document that counts as readable, at least.
+SHORTEST = 100
 
-# The registry that the experiments of record left behind.
+# The figures of the experiments of record; their prose is not needed.
 RUNS = [
-    ("naive_majority_v1", "Always predicting the majority class is the simplest floor.", "naive majority rule", "not applicable", 0.0, "yes", 0.724324, 0.420063, 0.724324, 1.0, 0.0, 0.5),
-    ("cnn_unweighted_v1", "A compact CNN can learn road-image patterns beyond the majority rule.", "simple CNN model", "none", 1141.9, "yes", 0.789189, 0.673898, 0.795031, 0.955224, 0.352941, 0.867574),
-    ("cnn_class_weighted_v2", "Class weights improve Normal recall and Macro F1 without changing the CNN architecture.", "class_weight: none to balanced weights", "Normal=1.822; Pothole=0.689", 1045.3, "yes", 0.821622, 0.775295, 0.874074, 0.880597, 0.666667, 0.846064),
-    ("mobilenetv2_frozen_v3", "Result invalid because random augmentation was applied during validation and inference.", "invalid preprocessing boundary", "Normal=1.822; Pothole=0.689", 1278.0, "no", 0.92973, 0.915463, 0.976378, 0.925373, 0.941176, 0.983611),
-    ("mobilenetv2_frozen_v4", "Frozen ImageNet MobileNetV2 with correct training-only augmentation improves validation performance.", "corrected augmentation boundary; frozen MobileNetV2 transfer learning", "Normal=1.822; Pothole=0.689", 635.4, "yes", 0.945946, 0.933126, 0.969697, 0.955224, 0.921569, 0.985806),
+    ("naive_majority_v1", None, None, None, 0.0, "yes", 0.724324, 0.420063, 0.724324, 1.0, 0.0, 0.5),
+    ("cnn_unweighted_v1", None, None, None, 1141.9, "yes", 0.789189, 0.673898, 0.795031, 0.955224, 0.352941, 0.867574),
+    ("cnn_class_weighted_v2", None, None, None, 1045.3, "yes", 0.821622, 0.775295, 0.874074, 0.880597, 0.666667, 0.846064),
+    ("mobilenetv2_frozen_v3", None, None, None, 1278.0, "no", 0.92973, 0.915463, 0.976378, 0.925373, 0.941176, 0.983611),
+    ("mobilenetv2_frozen_v4", None, None, None, 635.4, "yes", 0.945946, 0.933126, 0.969697, 0.955224, 0.921569, 0.985806),
 ]
 
 
@@ -34,9 +36,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files: doc_id, split, label (null without one), sha256."""
+    """Documents as files: doc_id, split, label (null without one), sha256, readable (has SHORTEST characters)."""
     labels = _read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, NAMES[1]).when(F.col("quality") == 0, NAMES[0]).alias("label"))
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("split"), digest(F.col("text")).alias("sha256"))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("split"), digest(F.col("text")).alias("sha256"), F.coalesce(F.length("text") >= SHORTEST, F.lit(False)).alias("readable"))
     return docs.join(labels, "doc_id", "left")
 
 
@@ -70,8 +72,7 @@ def q02b_readability(spark, sf_dir):
 
 def q03_manifest(spark, sf_dir):
     path = F.concat(F.col("split"), F.lit("/"), F.coalesce("label", F.lit("")), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
-    docs = _files(spark, sf_dir)
-    return audit.manifest(docs.join(_read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), path, F.col("split"), F.col("label"), F.col("text"))
+    return audit.manifest(_files(spark, sf_dir), path, F.col("split"), F.col("label"), sha256=F.col("sha256"))
 
 
 def q04_first_wins(spark, sf_dir):
@@ -97,7 +98,7 @@ def q06b_class_sets(spark, sf_dir):
 
 def q07_report(spark, sf_dir):
     files = _files(spark, sf_dir)
-    return audit.report(audit.split_counts(files), audit.unreadable(files, F.col("sha256").isNotNull(), "split", "sha256"))
+    return audit.report(audit.split_counts(files), audit.unreadable(files, F.col("readable"), "split", "sha256"))
 
 
 def q08_stratified_split(spark, sf_dir):
@@ -192,8 +193,8 @@ def q22_majority_class(spark, sf_dir):
 
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q") and callable(f)}
 
-_FILES = """files AS (
-  SELECT d.doc_id, d.source AS split, sha256(d.text) AS sha256, CASE l.quality WHEN 1 THEN 'Pothole' WHEN 0 THEN 'Normal' END AS label
+_FILES = f"""files AS (
+  SELECT d.doc_id, d.source AS split, sha256(d.text) AS sha256, coalesce(length(d.text) >= {SHORTEST}, false) AS readable, CASE l.quality WHEN 1 THEN 'Pothole' WHEN 0 THEN 'Normal' END AS label
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 _PARTS = f"""{_FILES}, pool AS (
   SELECT * FROM files WHERE label IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sha256 ORDER BY split, label, doc_id) = 1),
@@ -205,7 +206,9 @@ parts AS (
     WHEN k <= round_even(n::DOUBLE * 0.70::DOUBLE, 0) + round_even(n::DOUBLE * 0.15::DOUBLE, 0) THEN 'validation' ELSE 'test' END AS split FROM placed)"""
 _SPREAD = "spread AS (SELECT sha256, count(*) AS n_files, count(DISTINCT split) AS n_splits FROM files GROUP BY sha256 HAVING count(DISTINCT split) > 1)"
 _COUNTS = "counts AS (SELECT split, label, count(*) AS n_files FROM files WHERE label IS NOT NULL GROUP BY ALL)"
-_SETS = "sets AS (SELECT split, string_agg(label, ',' ORDER BY label) AS classes, count(*) AS n_classes, sum(n_files)::BIGINT AS n_files FROM counts GROUP BY split)"
+_SETS = """splits AS (SELECT DISTINCT split FROM files), sets AS (
+  SELECT s.split, coalesce(string_agg(c.label, ',' ORDER BY c.label), '') AS classes, count(c.label) AS n_classes, coalesce(sum(c.n_files), 0)::BIGINT AS n_files
+  FROM splits s LEFT JOIN counts c ON s.split = c.split GROUP BY s.split)"""
 _SCORES = "scores AS (SELECT l_orderkey, l_linenumber, (l_returnflag = 'R')::INT AS y, l_discount * 10.0::DOUBLE AS p FROM lineitem)"
 
 
@@ -218,7 +221,8 @@ def _figures(counts: str, p: str) -> str:
     rows = [(m, c, v) for c, x in value.items() for m, v in x.items()]
     for m in ("precision", "recall", "f1"):
         a, b = value["Normal"], value["Pothole"]
-        rows.append((m, "macro avg", f"({a[m]} + {b[m]}) / 2"))
+        x, y = "(tn + fn + fp > 0)::DOUBLE", "(tp + fp + fn > 0)::DOUBLE"
+        rows.append((m, "macro avg", ratio(f"{a[m]} * {x} + {b[m]} * {y}", f"{x} + {y}")))
         rows.append((m, "weighted avg", ratio(f"{a[m]} * {a['support']} + {b[m]} * {b['support']}", n)))
     rows.append(("accuracy", "all", ratio("tp + tn", n)))
     selects = [f"SELECT '{m}' AS metric, '{c}' AS class_name, round_even({v}, 6) AS value FROM counts" for m, c, v in rows]
@@ -231,6 +235,7 @@ _CONFUSION = """counts AS (SELECT count(*) FILTER (y = 1 AND p >= 0.5) AS tp, co
   count(*) FILTER (y = 1 AND p < 0.5) AS fn, count(*) FILTER (y = 0 AND p < 0.5) AS tn FROM scores)"""
 _NAIVE = """counts AS (SELECT CASE WHEN sum(y) >= sum(1 - y) THEN sum(y) ELSE 0 END AS tp, CASE WHEN sum(y) >= sum(1 - y) THEN sum(1 - y) ELSE 0 END AS fp,
   CASE WHEN sum(y) >= sum(1 - y) THEN 0 ELSE sum(y) END AS fn, CASE WHEN sum(y) >= sum(1 - y) THEN 0 ELSE sum(1 - y) END AS tn FROM scores)"""
+_NOTES = ", ".join(f"('{issue}', '{evidence}', '{risk}', '{action}')" for issue, (evidence, risk, _, action) in issues.NOTES.items())
 _RUN_ROWS = ", ".join(f"('{r[0]}', '{r[5]}', {r[7]!r}::DOUBLE, {r[4]!r}::DOUBLE)" for r in RUNS)
 
 SQL: dict[str, str] = {
@@ -248,8 +253,10 @@ SQL: dict[str, str] = {
       UNION ALL SELECT 'class folders differ between splits' FROM (SELECT count(DISTINCT classes) AS n FROM sets) WHERE n > 1
       UNION ALL SELECT n || ' exact duplicate groups cross splits' FROM (SELECT count(*) AS n FROM spread) WHERE n > 0""",
     "q06b_class_sets": f"WITH {_FILES}, {_COUNTS}, {_SETS} SELECT * FROM sets",
-    "q07_report": f"""WITH {_FILES}, {_COUNTS} SELECT split, '{{"split":"' || split || '","classes":[' || string_agg('"' || label || '"', ',' ORDER BY label) || '],"class_counts":{{'
-      || string_agg('"' || label || '":' || n_files, ',' ORDER BY label) || '}},"unreadable_images":0}}' AS report FROM counts GROUP BY split""",
+    "q07_report": f"""WITH {_FILES}, {_COUNTS}, lost AS (SELECT split, count(*) FILTER (NOT readable) AS n FROM files GROUP BY split)
+      SELECT l.split, '{{"split":"' || l.split || '","classes":[' || coalesce(string_agg('"' || label || '"', ',' ORDER BY label), '') || '],"class_counts":{{'
+      || coalesce(string_agg('"' || label || '":' || n_files, ',' ORDER BY label), '') || '}},"unreadable_images":' || any_value(l.n) || '}}' AS report
+      FROM lost l LEFT JOIN counts c ON l.split = c.split GROUP BY l.split""",
     "q08_stratified_split": f"WITH {_PARTS} SELECT doc_id, label, sha256, split FROM parts",
     "q09_split_summary": f"""WITH {_PARTS} SELECT split, count(*) AS rows, count(*) FILTER (label = 'Normal') AS normal_count, count(*) FILTER (label = 'Pothole') AS pothole_count,
       printf('%.6f', count(*) FILTER (label = 'Pothole')::DOUBLE / count(*)::DOUBLE) AS pothole_rate, 'stratified exact-hash-deduplicated' AS split_method, 42 AS seed, '' AS notes FROM parts GROUP BY split""",
@@ -262,8 +269,9 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'DQ-02', count(*) || ' exact duplicate groups cross splits', count(*), 'Keep each digest in one derived split' FROM spread
         UNION ALL SELECT 'DQ-03', count(*) FILTER (label = 'Normal') || ' Normal against ' || count(*) FILTER (label = 'Pothole') || ' Pothole files',
           greatest(count(*) FILTER (label = 'Pothole') - count(*) FILTER (label = 'Normal'), 0), 'Keep class ratios and weigh classes' FROM files
-        UNION ALL SELECT 'DQ-04', count(*) || ' digests carry more than one label', count(*), 'Review by hand' FROM conflicts)
-      SELECT *, CASE WHEN n > 0 THEN 'Open' ELSE 'None found' END AS status FROM found""",
+        UNION ALL SELECT 'DQ-04', count(*) || ' digests carry more than one label', count(*), 'Review by hand' FROM conflicts),
+      notes(issue_id, evidence_path, risk, action_or_limitation) AS (VALUES {_NOTES})
+      SELECT found.*, evidence_path, risk, action_or_limitation, CASE WHEN n > 0 THEN 'Open' ELSE 'None found' END AS status, 'unassigned' AS owner FROM found JOIN notes USING (issue_id)""",
     "q13_class_weights": """SELECT quality, n, round_even((sum(n) OVER ())::DOUBLE / (count(*) OVER () * n)::DOUBLE, 6) AS weight
       FROM (SELECT quality, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY quality)""",
     "q14_selection_rows": f"WITH {_PARTS} SELECT doc_id, label, split FROM parts WHERE split IN ('train', 'validation')",

@@ -9,22 +9,12 @@ def _strings(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.StringType()) for n in names]
 
 
-MANIFEST = T.StructType(_strings("filepath", "split", "label", "label_source", "group_id", "sha256"))
-
-SPLIT_SUMMARY = T.StructType([
-    T.StructField("split", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("normal_count", T.LongType()),
-    T.StructField("pothole_count", T.LongType()), *_strings("pothole_rate", "split_method"), T.StructField("seed", T.IntegerType()), *_strings("notes")])
-
 ISSUE_LOG = T.StructType(_strings("issue_id", "finding", "evidence_path", "risk", "decision", "action_or_limitation", "status", "owner"))
 
 EXPERIMENT = T.StructType([
     *_strings("run_name", "hypothesis", "changed_factor", "class_weight"), T.StructField("training_seconds", T.DoubleType()), *_strings("valid_for_selection"),
     *(T.StructField(n, T.DoubleType()) for n in ("accuracy", "macro_f1", "pothole_precision", "pothole_recall", "normal_recall", "roc_auc"))])
 
-PREDICTION = T.StructType([
-    T.StructField("label", T.StringType()), T.StructField("pothole_probability", T.DoubleType()),
-    T.StructField("threshold", T.DoubleType()), T.StructField("image_size", T.ArrayType(T.IntegerType()))])
-
 CONFIG = T.StructType([
     T.StructField("class_mapping", T.MapType(T.StringType(), T.StringType())),
     T.StructField("input_image", T.StructType([T.StructField("image_size", T.ArrayType(T.IntegerType()))])),

@@ -17,13 +17,45 @@ TRAINER_ALIASES = {"train": ("train",), "validation": ("val", "valid", "validati
 REQUIRED_KEYS = ("class_mapping", "input_image", "prediction_rule")
 
 
-def _segment(path: Column, root: str, at: int) -> Column:
-    inside = F.regexp_replace(path, "^(file:)?/*", "/")
-    return F.get(F.split(F.substring(inside, len(_plain(root)) + 2, 1 << 30), "/"), F.lit(at))
+def store(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-def _plain(root: str) -> str:
-    return "/" + root.removeprefix("file:").strip("/")
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with scheme and authority, as Spark's readers return it."""
+    files, at = store(spark, path)
+    return files.makeQualified(at).toString().rstrip("/")
+
+
+def first_there(spark: SparkSession, *paths: str) -> str:
+    """The first path that exists, such as a local model before a remote one; FileNotFoundError if none does."""
+    for path in paths:
+        files, at = store(spark, path)
+        if files.exists(at):
+            return path
+    raise FileNotFoundError(", ".join(paths))
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    files, at = store(spark, path)
+    return sorted(s.getPath().getName() for s in files.listStatus(at) if s.isDirectory())
+
+
+def class_folders(spark: SparkSession, root: str) -> DataFrame:
+    """folder and label: one row for each class folder, empty ones too, and one with null for a folder without any.
+
+    The driver lists folders, never files.
+    """
+    if not store(spark, root)[0].exists(store(spark, root)[1]):
+        raise FileNotFoundError(root)
+    rows = [(folder, label) for folder in _folders(spark, root) for label in _folders(spark, f"{root}/{folder}") or [None]]
+    return spark.createDataFrame(rows, "folder string, label string")
+
+
+def _segment(path: Column, base: str, at: int) -> Column:
+    return F.get(F.split(F.substring(path, len(base) + 2, 1 << 30), "/"), F.lit(at))
 
 
 def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = AUDIT_SUFFIXES) -> DataFrame:
@@ -31,11 +63,12 @@ def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = AUDIT_SUFFI
 
     Where a folder has class folders, loose files beside them are left out.
     """
+    base = qualified(spark, root)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     named = files.where(has_suffix(F.col("path"), suffixes)).select(
-        "path", _segment(F.col("path"), root, 0).alias("folder"),
-        F.when(_segment(F.col("path"), root, 2).isNotNull(), _segment(F.col("path"), root, 1)).otherwise("").alias("label"), "content")
-    classed = [r["folder"] for r in named.where("label <> ''").select("folder").distinct().collect()]
+        "path", _segment(F.col("path"), base, 0).alias("folder"),
+        F.when(_segment(F.col("path"), base, 2).isNotNull(), _segment(F.col("path"), base, 1)).otherwise("").alias("label"), "content")
+    classed = [r["folder"] for r in class_folders(spark, root).where("label is not null").select("folder").distinct().collect()]
     return named.where((F.col("label") != "") | ~F.col("folder").isin(*classed)) if classed else named
 
 
@@ -54,7 +87,7 @@ def require_one_folder_each(files: DataFrame) -> None:
                 found[split].add(r["folder"])
     for split, folders in found.items():
         if len(folders) != 1:
-            raise ValueError(f"Expected exactly one '{split}' split; found: {sorted(folders)}")
+            raise ValueError(f"{split}: one folder is needed, there are {sorted(folders) or 'none'}")
 
 
 def pool_rank(folder: Column) -> Column:
@@ -63,17 +96,20 @@ def pool_rank(folder: Column) -> Column:
 
 
 def trainer_folders(folders: list[str]) -> dict[str, str]:
-    """The first folder that is there for each split of a trainer."""
-    out = {}
-    for split, names in TRAINER_ALIASES.items():
-        there = [n for n in names if n in folders]
-        if not there and split != "validation":
-            raise FileNotFoundError(f"{split} split not found")
-        if there:
-            out[split] = there[0]
+    """The first folder that is there for each split of a trainer, which needs all three."""
+    out = {split: next((n for n in names if n in folders), None) for split, names in TRAINER_ALIASES.items()}
+    if missing := [split for split, name in out.items() if name is None]:
+        raise FileNotFoundError(f"no folder for {', '.join(missing)}")
     return out
 
 
+def dataset(spark: SparkSession, root: str, folder: str, suffixes: tuple[str, ...] = AUDIT_SUFFIXES) -> tuple[DataFrame, list[str]]:
+    """path, content and y (the place of the class among the sorted class folders) of one folder's images, and the classes."""
+    classes = _folders(spark, f"{root}/{folder}")
+    rows = scan(spark, root, suffixes).where((F.col("folder") == folder) & F.col("label").isin(*classes))
+    return rows.select("path", "content", (F.array_position(F.array(*map(F.lit, classes)), F.col("label")) - 1).cast("int").alias("y")), classes
+
+
 def load_config(spark: SparkSession, path: str) -> dict:
     """A configuration, checked: FileNotFoundError, or ValueError for bad JSON and missing keys."""
     from pyspark.errors import AnalysisException

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +28,3 @@ def save_head(model: LogisticRegressionModel, path: str) -> None:
 
 def load_head(path: str) -> LogisticRegressionModel:
     return LogisticRegressionModel.load(f"{path}/model")
-
-
-def as_text(report: dict) -> str:
-    return json.dumps(report, indent=2, sort_keys=True)

@@ -53,7 +53,10 @@ def test_scan_and_audit(spark, tree):
     assert manifest.layout_errors(counts, ("train", "val"), ("Normal", "Pothole")) == []
     assert manifest.layout_errors(counts, ("train", "test"), ("Normal", "Pothole")) == ["test: missing"]
     assert [r["warning"] for r in manifest.warnings(counts, manifest.spread_digests(rows)).collect()] == ["3 exact duplicate groups cross splits"]
-    report = {r["split"]: json.loads(r["report"]) for r in manifest.report(counts, manifest.unreadable(rows, F.lit(True), "split", "filepath")).collect()}
+    every = manifest.with_folders(manifest.split_counts(rows), files.class_folders(spark, tree).withColumn("split", files.audit_split(F.col("folder"))).where("split is not null"))
+    assert {r["warning"] for r in manifest.warnings(every, manifest.spread_digests(rows)).collect()} == {"3 exact duplicate groups cross splits", "test: expected two classes but found []", "class folders differ between splits"}
+    report = {r["split"]: json.loads(r["report"]) for r in manifest.report(every, manifest.unreadable(rows, F.lit(True), "split", "filepath")).collect()}
+    assert report["test"] == {"split": "test", "classes": [], "class_counts": {}, "unreadable_images": 0}
     assert report["train"] == {"split": "train", "classes": ["Normal", "Pothole"], "class_counts": {"Normal": 2, "Pothole": 2}, "unreadable_images": 0}
 
 
@@ -82,8 +85,9 @@ def test_folder_rules(spark):
     with pytest.raises(ValueError, match="val"):
         files.require_one_folder_each(rows)
     assert files.trainer_folders(["train", "valid", "validation", "test"]) == {"train": "train", "validation": "valid", "test": "test"}
-    with pytest.raises(FileNotFoundError):
-        files.trainer_folders(["train", "val"])
+    for short in (["train", "val"], ["train", "test"], ["val", "test"]):
+        with pytest.raises(FileNotFoundError):
+            files.trainer_folders(short)
     ranks = {r["folder"]: r["r"] for r in rows.select("folder", files.pool_rank(F.col("folder")).alias("r")).collect()}
     assert ranks == {"train": 0, "val": 1, "validation": 3, "test": None}
 
@@ -150,6 +154,8 @@ def test_metrics_of_record(spark):
     counts = spark.createDataFrame([(126, 2, 7, 48)], "tp long, fp long, fn long, tn long")
     got = {(r["metric"], r["class_name"]): r["value"] for r in metrics.figures(counts).collect()}
     assert got["accuracy", "all"] == 0.950820 and got["f1", "macro avg"] == 0.939901
+    alone = {(r["metric"], r["class_name"]): r["value"] for r in metrics.figures(spark.createDataFrame([(7, 0, 0, 0)], "tp long, fp long, fn long, tn long")).collect()}
+    assert alone["f1", "macro avg"] == 1.0 and alone["f1", "Normal"] == 0.0
     assert got["precision", "Pothole"] == 0.984375 and got["recall", "Pothole"] == 0.947368 and got["recall", "Normal"] == 0.96
     never = {(r["metric"], r["class_name"]): r["value"] for r in metrics.figures(spark.createDataFrame([(0, 0, 5, 5)], "tp long, fp long, fn long, tn long")).collect()}
     assert never["precision", "Pothole"] == 0.0 and never["f1", "Pothole"] == 0.0
@@ -165,6 +171,7 @@ def test_roc_auc(spark):
     assert auc([(y, p**3) for y, p in pairs]) == pytest.approx(want)
     assert auc([(y, 0.3) for y, _ in pairs]) == 0.5
     assert auc([(1, 0.3), (1, 0.4)]) is None
+    assert auc([*pairs, (0, 1.5), (1, -0.5), (0, float("nan")), (1, None)]) == pytest.approx(want)
 
 
 def test_probabilities(spark):
@@ -215,6 +222,11 @@ def test_registry(spark, tmp_path):
     registry.save(runs, str(tmp_path / "runs"))
     assert files.read_registry(spark, str(tmp_path / "runs")).count() == 2
     assert files.read_registry(spark, str(tmp_path / "none")).isEmpty()
+    for name, f1 in (("c", 0.8), ("a", 0.9)):
+        there = files.read_registry(spark, str(tmp_path / "runs"))
+        registry.replace(registry.upsert(there, spark.createDataFrame([run(name, f1, "yes")], EXPERIMENT)), str(tmp_path / "runs"))
+    assert {(r["run_name"], r["macro_f1"]) for r in files.read_registry(spark, str(tmp_path / "runs")).collect()} == {("a", 0.9), ("b", 0.9), ("c", 0.8)}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["runs"]
 
 
 def test_config(spark, tmp_path):
@@ -261,7 +273,13 @@ def test_whole_audit_and_split(spark, tree, tmp_path):
     assert [(r["split"], r["filepath"].rsplit("/", 1)[1]) for r in found.unreadable.collect()] == [("train", "c.jpg")]
     assert found.manifest.count() == 6 and found.duplicates.count() == 6
     main(["audit", "--data-dir", tree, "--output", str(tmp_path / "report"), "--manifest-output", str(tmp_path / "manifest")])
-    assert spark.read.json(str(tmp_path / "report")).count() == 2
+    report = {r["split"]: json.loads(r["report"]) for r in spark.read.json(str(tmp_path / "report")).collect()}
+    assert {k: (v["classes"], v["unreadable_images"]) for k, v in report.items()} == {"train": (["Normal", "Pothole"], 1), "val": (["Normal", "Pothole"], 0), "test": ([], 0)}
+    assert report["val"]["path"].endswith("/Validation")
+    whole = entries.document(found, tree)
+    assert [x.rsplit("/", 1)[1] for x in whole["splits"]["train"]["unreadable_images"]] == ["c.jpg"] and whole["splits"]["test"]["classes"] == []
+    assert sorted(sorted(x.rsplit("/", 1)[1] for x in group) for group in whole["duplicate_files_across_splits"]) == [["a b.png", "e.png"], ["a2.PNG", "f.png"], ["d.png", "g.png"]]
+    assert set(whole["warnings"]) == {"test: expected two classes but found []", "class folders differ between splits", "3 exact duplicate groups cross splits"}
     assert spark.read.csv(str(tmp_path / "manifest"), header=True).count() == 6
     pool = {r["path"].rsplit("/", 1)[1]: r["label"] for r in entries.pool(spark, tree).collect()}
     assert pool == {"a b.png": "Normal", "a2.PNG": "Normal", "d.png": "Pothole"}
@@ -280,10 +298,160 @@ def test_evaluation_files_and_saved_head(spark, tmp_path):
     spark.createDataFrame([(1, 0.9), (0, 0.2), (1, 0.4), (0, 0.5)], "y int, p double").write.parquet(str(tmp_path / "scores"))
     main(["evaluate", "--scores", str(tmp_path / "scores"), "--output", str(tmp_path / "out")])
     figures = {(r["metric"], r["class_name"]): r["value"] for r in spark.read.json(str(tmp_path / "out/metrics")).collect()}
-    assert figures["accuracy", "all"] == 0.5 and figures["roc_auc", "all"] == 0.75
+    assert figures["threshold", "all"] == 0.5 and figures["accuracy", "all"] == 0.5 and figures["roc_auc", "all"] == 0.75
     assert spark.read.csv(str(tmp_path / "out/predictions"), header=True).count() == 4
     rows = spark.createDataFrame([([0.0, 1.0], 0), ([1.0, 0.0], 1)] * 5, "v array<float>, y int")
     model = training.fit_head(rows, "v", "y")
     save_head(model, str(tmp_path / "head"))
     assert load_head(str(tmp_path / "head")).coefficients == model.coefficients
     assert spark.read.json(str(tmp_path / "head/history")).count() == len(training.history(model))
+
+
+def jpeg(spark, rows: np.ndarray, turn: int = 0) -> bytes:
+    """A JPEG file of (height, width, 3), with an Exif orientation where asked."""
+    jvm, (height, width, _) = spark._jvm, rows.shape
+    image = jvm.java.awt.image.BufferedImage(width, height, 1)
+    for y in range(height):
+        for x in range(width):
+            image.setRGB(x, y, int(rows[y, x, 0]) << 16 | int(rows[y, x, 1]) << 8 | int(rows[y, x, 2]))
+    out = jvm.java.io.ByteArrayOutputStream()
+    jvm.javax.imageio.ImageIO.write(image, "jpg", out)
+    data = bytes(out.toByteArray())
+    if not turn:
+        return data
+    exif = b"Exif\0\0MM\0*" + struct.pack(">IHHHIHHI", 8, 1, 0x0112, 3, 1, turn, 0, 0)
+    return data[:2] + b"\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif + data[2:]
+
+
+def webp(width: int, height: int) -> bytes:
+    body = b"\x2f" + struct.pack("<I", (width - 1) | (height - 1) << 14) + bytes(11)
+    return b"RIFF" + struct.pack("<I", 12 + len(body)) + b"WEBPVP8L" + struct.pack("<I", len(body)) + body
+
+
+def test_jpeg_turns(spark):
+    left = np.zeros((32, 64, 3), np.uint8)
+    left[:, :32] = 250  # bright on the left
+    bright = {}
+    for turn in (0, 1, 2, 3, 4, 5, 6, 7, 8, 9):
+        x = pixels.decode(spark, jpeg(spark, left, turn))
+        halves = {"left": x[:, : x.shape[1] // 2], "right": x[:, x.shape[1] // 2 :], "top": x[: x.shape[0] // 2], "bottom": x[x.shape[0] // 2 :]}
+        bright[turn] = (x.shape[:2], max(halves, key=lambda k: halves[k].mean()))
+    wide, tall = (32, 64), (64, 32)
+    assert bright == {0: (wide, "left"), 1: (wide, "left"), 2: (wide, "right"), 3: (wide, "right"), 4: (wide, "left"), 5: (tall, "top"), 6: (tall, "top"), 7: (tall, "bottom"), 8: (tall, "bottom"), 9: (wide, "left")}
+
+
+@pytest.mark.parametrize("turn", range(1, 9))
+def test_turned_like_a_plain_rule(turn):
+    x = np.arange(6).reshape(2, 3, 1)
+    flip, rot = (lambda v: v[:, ::-1]), (lambda v, k: np.rot90(v, k))
+    want = {1: x, 2: flip(x), 3: rot(x, 2), 4: x[::-1], 5: rot(flip(x), 1), 6: rot(x, 3), 7: rot(flip(x), 3), 8: rot(x, 1)}[turn]
+    assert (pixels.turned(x, turn) == want).all()
+
+
+def test_webp_containers():
+    from sparkmill.functions.containers import webp_size
+
+    assert webp_size(webp(640, 480)) == (640, 480)
+    lossy = b"\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 30, 20) + bytes(4)
+    assert webp_size(b"RIFF" + struct.pack("<I", 12 + len(lossy)) + b"WEBPVP8 " + struct.pack("<I", len(lossy)) + lossy) == (30, 20)
+    for bad in (b"", b"RIFF", b"<html>", webp(5, 5)[:-9], webp(5, 5).replace(b"WEBP", b"WAVE"), webp(5, 5).replace(b"VP8L", b"XXXX")):
+        assert webp_size(bad) is None
+
+
+def test_webp_files_and_empty_class_folders(spark, tmp_path):
+    from sparkmill.plans import entries
+
+    for name in ("train/Normal", "train/Pothole", "valid/Normal", "valid/Pothole", "test/Normal"):
+        (tmp_path / name).mkdir(parents=True)
+    (tmp_path / "train/Normal/a.webp").write_bytes(webp(9, 9))
+    (tmp_path / "train/Normal/b.webp").write_bytes(b"nothing")
+    (tmp_path / "train/Pothole/c.png").write_bytes(png(np.zeros((2, 2, 3))))
+    found = entries.audit(spark, str(tmp_path))
+    assert [r["filepath"].rsplit("/", 1)[1] for r in found.unreadable.collect()] == ["b.webp"] and found.manifest.count() == 2
+    report = {r["split"]: json.loads(r["report"]) for r in found.report.collect()}
+    assert report["val"]["classes"] == ["Normal", "Pothole"] and report["val"]["class_counts"] == {"Normal": 0, "Pothole": 0} and report["test"]["classes"] == ["Normal"]
+    assert {r["warning"] for r in found.warnings.collect()} == {"test: expected two classes but found [Normal]", "class folders differ between splits"}
+    with pytest.raises(FileNotFoundError):
+        entries.audit(spark, str(tmp_path / "none"))
+
+
+def test_paths_of_other_authorities(spark):
+    """A root without scheme or authority holds files whose paths have both."""
+    rows = spark.createDataFrame([("hdfs://nn:8020/data/train/Normal/x/a.png",)], "path string")
+    at = lambda k: rows.select(files._segment(F.col("path"), "hdfs://nn:8020/data", k)).first()[0]
+    assert [at(k) for k in range(5)] == ["train", "Normal", "x", "a.png", None]
+    assert files.qualified(spark, "/tmp/") == "file:/tmp" == files.qualified(spark, "file:///tmp")
+
+
+@pytest.fixture(scope="module")
+def roads(spark, tmp_path_factory):
+    """Three folders of two classes that brightness tells apart."""
+    root, rng = tmp_path_factory.mktemp("roads"), np.random.default_rng(3)
+    for folder, n in (("train", 12), ("valid", 4), ("test", 3)):
+        for label, level in (("Normal", 60), ("Pothole", 190)):
+            for k in range(n):
+                p = root / folder / label / f"{label}{k}.png"
+                p.parent.mkdir(parents=True, exist_ok=True)
+                p.write_bytes(png(np.clip(level + rng.integers(-30, 30, (12, 16, 3)), 0, 255)))
+    return root
+
+
+def test_train_and_predict(spark, roads, tmp_path, capsys):
+    from sparkmill.__main__ import main
+    from sparkmill.plans import entries
+
+    records = entries.train(spark, str(roads), str(tmp_path / "head"), training.EpochSettings(epochs=8, rate=0.2), (24, 24))
+    assert records[-1]["val_loss"] < records[0]["val_loss"] and records[-1]["val_accuracy"] == 1.0 and records[-1]["seconds"] >= 0
+    assert spark.read.json(str(tmp_path / "head/history")).count() == len(records)
+    config = tmp_path / "config.json"
+    config.write_text(json.dumps({"class_mapping": {"0": "Normal", "1": "Pothole"}, "input_image": {"image_size": [30, 20]}, "prediction_rule": {"threshold": 0.5}}))
+    for label in ("Normal", "Pothole"):
+        path = str(roads / f"test/{label}/{label}0.png")
+        with open(path, "rb") as f:
+            by_file = triage.predict_from_artifacts(spark, f, str(tmp_path / "head"), str(config))
+        got = triage.predict_from_artifacts(spark, path, str(tmp_path / "head"), str(config))
+        assert got == by_file == triage.predict_from_artifacts(spark, (roads / f"test/{label}/{label}0.png").read_bytes(), str(tmp_path / "head"), str(config))
+        assert got["label"] == label and got["image_size"] == [30, 20] and 0 <= got["pothole_probability"] <= 1
+    main(["predict", "--model-path", str(tmp_path / "head"), "--image", str(roads / "test/Pothole/Pothole1.png")])
+    assert capsys.readouterr().out.startswith("Pothole, confidence")
+    for bad in ("none.png", "test/Pothole"):
+        with pytest.raises((ValueError, FileNotFoundError)):
+            triage.predict_file(spark, str(roads / bad), str(tmp_path / "head"))
+    with pytest.raises(FileNotFoundError):
+        triage.predict_file(spark, str(roads / "test/Pothole/Pothole1.png"), str(tmp_path / "no-head"))
+    with pytest.raises(FileNotFoundError):
+        entries.train(spark, str(roads / "train"), str(tmp_path / "other"))
+
+
+def test_prepare_image(spark, tmp_path):
+    rgba = np.zeros((10, 20, 4), np.uint8)
+    rgba[:] = (10, 20, 30, 255)
+    x = triage.prepare_image(spark, png(rgba), (224, 112))
+    assert x.shape == (112, 224, 3) and x.dtype == np.float32 and np.allclose(x, [10, 20, 30], atol=1e-3)
+    assert np.allclose(pixels.rescaled(x), np.array([10, 20, 30]) / 255, atol=1e-5) and np.allclose(pixels.centred(x), np.array([10, 20, 30]) / 127.5 - 1, atol=1e-5)
+    for source, name in ((png(rgba), "road.gif"), (b"text", "road.png"), (b"", None)):
+        with pytest.raises(ValueError):
+            triage.prepare_image(spark, source, (8, 8), name)
+
+
+def test_training_stops_early(spark):
+    rng = np.random.default_rng(2)
+    made = lambda n, noise: spark.createDataFrame([([float(v) for v in r], int(r[0] + noise * rng.standard_normal() > 0)) for r in rng.standard_normal((n, 6))], "features array<double>, y int").cache()
+    head, records = training.fit_epochs(made(60, 0.1), made(60, 30.0), training.EpochSettings(epochs=40, patience=3, rate=0.5))
+    best = min(range(len(records)), key=lambda k: records[k]["val_loss"])
+    assert len(records) == best + 4 < 40 and set(training.MEASURES) < set(records[0])
+    with pytest.raises(ValueError):
+        training.fit_epochs(made(5, 0.0).where("y = 1"), made(5, 0.0))
+
+
+def test_first_path_that_is_there(spark, tmp_path):
+    (tmp_path / "b").mkdir()
+    assert files.first_there(spark, str(tmp_path / "a"), str(tmp_path / "b")) == str(tmp_path / "b")
+    with pytest.raises(FileNotFoundError):
+        files.first_there(spark, str(tmp_path / "a"))
+
+
+def test_dataset_has_classes_in_order(spark, roads):
+    rows, classes = files.dataset(spark, str(roads), "train")
+    assert classes == ["Normal", "Pothole"]
+    assert {(r["path"].split("/")[-2], r["y"]) for r in rows.collect()} == {("Normal", 0), ("Pothole", 1)} and rows.count() == 24
