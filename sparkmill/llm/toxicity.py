@@ -70,6 +70,7 @@ INSULTS = ("bastard", "clown", "disgusting", "idiot", "loser", "moron", "patheti
 REPORT = frozenset("said says wrote writes called quoted quotes quote word term dit écrit mot sagte schrieb wort dijo escribió palabra".split())
 ADDRESS = frozenset("you your you're u tu toi vous t'es du dich ihr tú usted ustedes eres".split())
 QUOTES = "\"'“”‘’«»„‹›"
+MARKS = frozenset(QUOTES)
 #: The marks that close what each one opens; one that stands alone closes if it can.
 CLOSING = {'"': '"', "'": "'", "“": "”", "”": "”", "‘": "’", "’": "’", "«": "»", "»": "«", "„": "“”", "‹": "›", "›": "‹"}
 EDGE = ".,;:!?()[]{}*#$%&|~^_=+<>/\\-…" + QUOTES
@@ -207,14 +208,20 @@ class Finder:
 
     def hits(self, text: str | None) -> list[tuple[int, str, int, bool, str]]:
         tokens = (text or "").lower().split()
-        get, miss, found, pairs = self.known.get, self._of, [], None
-        for k, token in enumerate(tokens):
+        get, own = self.known.get, {}
+        for token in set(tokens):
             hit = get(token, 0)
             if hit == 0:
-                hit = miss(token)
+                hit = self._of(token)
             if hit:
-                pairs = self._pairs(tokens) if pairs is None else pairs
-                found.append((k, hit[0], hit[1], self._quoted(tokens, k, pairs), hit[2]))
+                own[token] = hit
+        if not own:
+            return []
+        pairs, found = self._pairs(tokens), []
+        for k, token in enumerate(tokens):
+            if token in own:
+                term, distance, word = own[token]
+                found.append((k, term, distance, self._quoted(tokens, k, pairs), word))
         return found
 
     @staticmethod
@@ -233,7 +240,7 @@ class Finder:
             return True
 
         for k, token in enumerate(tokens):
-            if not any(q in token for q in QUOTES):
+            if MARKS.isdisjoint(token):
                 continue
             core = token.strip(EDGE)
             left, _, right = token.partition(core) if core else ("", "", "")
