@@ -37,7 +37,7 @@ from .sampling import least_of_each
 from .scratch import materialise, table
 
 SIZES, BUCKETS, DIMENSIONS = (2, 3, 4), 1 << 17, 16
-PER_LANGUAGE, ALTOGETHER, EPOCHS, RATE, SLICE, SEED = 400, 4000, 8, 0.5, 1 << 20, 11
+PER_LANGUAGE, ALTOGETHER, EPOCHS, RATE, SLICE, SEED = 400, 4000, 8, 0.5, 1 << 18, 11
 QUANTILE, MARGIN, ERRORS, CHANCE = 0.01, 0.1, 3.0, 1.2
 FOLDS, HELD = 4, 2
 UNKNOWN = "und"

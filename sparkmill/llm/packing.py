@@ -28,6 +28,8 @@ from .bytebpe import byte_bpe_50k, encoder, pack_ids, unpack_ids
 from .scratch import materialise, table, unused
 
 CAPACITY, GROUP_SIZE, OPEN_BINS = 2048, 16_384, 512
+#: Pieces whose ids a task holds at a time.
+AT_ONCE = 1024
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -114,12 +116,12 @@ def best_fit(parts: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP
     groups = max(1, math.ceil(parts.count() / group_size))
     row, own = unused(parts, "_row"), unused(parts, "_group")
     dealt = parts.withColumn(row, F.monotonically_increasing_id()).withColumn(own, F.pmod(F.xxhash64(row), F.lit(groups)).cast("int"))
-    dealt = dealt.repartition(groups, own).sortWithinPartitions(own, row)
+    dealt = dealt.repartitionById(groups, own).sortWithinPartitions(row)
     names = parts.columns
 
     def run(batches):
         group, packer = None, None
-        for batch in batches:
+        for batch in (b.slice(k, AT_ONCE) for b in batches for k in range(0, b.num_rows, AT_ONCE)):
             ids, offsets = [], []
             for g, n in zip(batch.column(own).to_pylist(), batch.column("length").to_pylist(), strict=True):
                 if g != group:
