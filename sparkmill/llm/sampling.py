@@ -1,9 +1,10 @@
 """Bounded samples of labelled rows: of each class the rows of least hash.
 
 Every task keeps the least distinct rows of each class that it has seen, so a
-class sends at most so many rows from each task, whatever its size; what is left
-is ranked within 256 parts of a class and then within the class.  No class is too
-large to be sampled, and copies of one row count once.
+class sends at most so many rows from each task, whatever its size.  What is left
+is counted in 256 bins of the hash: bins below the one that holds a class's last
+row are taken whole, and only that bin's rows are ranked.  No class is too large
+to be sampled, and copies of one row count once.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PARTS = 256
+from .scratch import materialise
 
 
 class Least:
@@ -56,7 +57,11 @@ def least_of_each(rows: DataFrame, label: Column, row_id: Column, key: Column, m
 
     slim = rows.select(label.cast("string").alias("label"), row_id.alias("id"), key.alias("key")).where("label is not null")
     found = slim.select("label", F.xxhash64("id", "key").alias("hash"), "id", "key").mapInArrow(run, "label string, hash long, id long, key long").distinct()
-    order = ["hash", "id", "key"]
-    for by in (["label", F.pmod("hash", F.lit(PARTS))], ["label"]):
-        found = found.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= most).drop("rank")
-    return found.select("label", "id", "key")
+    found = materialise(found, "least-hashes").withColumn("bin", F.shiftright("hash", 56).cast("int"))
+    below = Window.partitionBy("label").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = found.groupBy("label", "bin").agg(F.count("*").alias("n")).withColumn("need", F.lit(most) - F.coalesce(F.sum("n").over(below), F.lit(0))).where("need > 0")
+    # 256 rows of a class at most
+    near = found.join(F.broadcast(bins), ["label", "bin"])
+    rank = F.row_number().over(Window.partitionBy("label", "bin").orderBy("hash", "id", "key"))
+    last = near.where("n > need").withColumn("rank", rank).where("rank <= need").drop("rank")
+    return near.where("n <= need").unionByName(last).select("label", "id", "key")
