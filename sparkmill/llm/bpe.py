@@ -22,14 +22,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import worddict
+from .bytebpe import pack_ids, unpack_ids
 from .scratch import bucketed, table
 
 #: Letters on whose classes and cases all Unicode versions agree; no separators that only Python takes for space.
 _PLAIN = re.compile(r"[\x00-\x1b\x20-ɏ]*\Z")
+#: Rows of a piece each that are packed at a time.
+CHUNK_ROWS = 200_000
 #: In front of a word that is a special token's string; words hold no space.
 _SPECIAL = " "
 
@@ -89,13 +93,13 @@ def _packed(ids: list[list[int]]) -> bytes:
 
 
 def _packed_flat(sizes: np.ndarray, flat: np.ndarray) -> bytes:
-    return worddict.pack(np.concatenate([np.array([len(sizes)], np.uint32), sizes, flat]))
+    head = worddict.pack(sizes)
+    return len(head).to_bytes(4, "little") + head + pack_ids(flat, worddict.LEVEL)
 
 
 def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = worddict.unpack(data)
-    n = int(raw[0])
-    return raw[1 : n + 1], raw[n + 1 :]
+    end = 4 + int.from_bytes(data[:4], "little")
+    return worddict.unpack(data[4:end]), unpack_ids(data[end:])
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -122,19 +126,19 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(word_bpe(path).pieces(), "id int, piece string").coalesce(1)
 
 
-def joined(coded: DataFrame, key: list[str], carried: list[str], path: str) -> DataFrame:
-    """key, carried and text: the pieces of column ids, found by a join with the table of pieces, with a space between.
+def with_pieces(coded: DataFrame, key: list[str], path: str) -> DataFrame:
+    """key, at, id and piece of each place of column ids, by a join with the table of pieces; one row of nulls where there is no id.
 
-    The table has a row for each id of the vocabulary, which bounds what is broadcast.
+    The table has a row for each id of the vocabulary, which bounds what is broadcast, so rows stay in place and in order.
     """
-    each = coded.select(*key, *carried, F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(piece_table(coded.sparkSession, path)), "id", "left")
-    return each.groupBy(*key).agg(*(F.first(c).alias(c) for c in carried), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), " ").alias("text"))
+    return coded.select(*key, F.posexplode_outer("ids").alias("at", "id")).join(F.broadcast(piece_table(coded.sparkSession, path)), "id", "left").select(*key, "at", "id", "piece")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text of rows of doc_id and ids."""
     rows = encoded.select("doc_id", "ids").withColumn("row", F.monotonically_increasing_id())
-    return joined(rows, ["row"], ["doc_id"], path).select("doc_id", "text")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "piece"))), lambda x: x["piece"]), " ")
+    return with_pieces(rows, ["row", "doc_id"], path).groupBy("row").agg(F.first("doc_id").alias("doc_id"), text.alias("text")).select("doc_id", "text")
 
 
 def _distinct(words: DataFrame, buckets: int, path: str) -> DataFrame:
@@ -161,29 +165,45 @@ def _distinct(words: DataFrame, buckets: int, path: str) -> DataFrame:
 
 
 def _decoded(distinct: DataFrame, path: str) -> DataFrame:
-    """bucket, n (in the bucket), ids and text of all distinct words, which stay in their buckets."""
-    words = distinct.where("block is null")
-    rows = words.select("bucket", "first", F.posexplode("ids").alias("k", "ids")).select("bucket", (F.col("first") + F.col("k")).alias("n"), "ids")
-    return joined(rows, ["bucket", "n"], ["ids"], path)
-
-
-def _chunked(words: DataFrame) -> DataFrame:
-    """bucket, refs, ids and pieces (packed): the rows of _decoded(), many to one."""
+    """bucket, refs, ids and pieces (packed, many words to a row) of all distinct words, which stay in their buckets."""
+    words = distinct.where("block is null").select("bucket", "first", F.posexplode("ids").alias("k", "ids"))
+    rows = with_pieces(words.select("bucket", (F.col("first") + F.col("k")).alias("n"), "ids"), ["bucket", "n"], path)
+
+    def packed(batch):
+        bucket, n, at = (batch.column(c).to_numpy() for c in ("bucket", "n", "at_"))
+        starts = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1) | np.diff(n, prepend=n[0] - 1))
+        if (at != np.arange(len(at)) - np.repeat(starts, np.diff(starts, append=len(at)))).any():
+            raise RuntimeError("the pieces of a word are not in order")
+        some = pc.is_valid(batch.column("id"))
+        sizes = np.add.reduceat(some.to_numpy(zero_copy_only=False).astype(np.int64), starts)
+        runs = np.flatnonzero(np.diff(bucket[starts], prepend=bucket[0] - 1))
+        for a, b in zip(runs.tolist(), [*runs[1:].tolist(), len(starts)], strict=True):
+            own = bucket[starts[a]]
+            part = slice(int(starts[a]), int(starts[b]) if b < len(starts) else len(at))
+            rows = batch.slice(part.start, part.stop - part.start).filter(some.slice(part.start, part.stop - part.start))
+            ends = np.concatenate([[0], np.cumsum(sizes[a:b])]).astype(np.int32)
+            text = pc.binary_join(pa.ListArray.from_arrays(ends, rows.column("piece")), " ").cast(pa.binary())
+            yield pa.RecordBatch.from_pydict({
+                "bucket": pa.array([int(own)], pa.int32()), "refs": pa.array([worddict.pack(n[starts[a:b]])], pa.binary()),
+                "ids": pa.array([_packed_flat(sizes[a:b].astype(np.uint32), rows.column("id").to_numpy().astype(np.uint32))], pa.binary()), "pieces": pa.array([worddict.pack_raw(text.to_pylist())], pa.binary())})
 
     def run(batches):
+        held, size = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = batch.column("bucket").to_numpy()
-            for a in (starts := np.flatnonzero(np.diff(own, prepend=own[0] - 1))).tolist():
-                rows = batch.slice(a, int(np.append(starts, len(own))[np.searchsorted(starts, a) + 1]) - a)
-                ids = rows.column("ids")
-                flat, ends = ids.flatten().to_numpy(), ids.value_lengths().to_numpy()
-                yield pa.RecordBatch.from_pydict({
-                    "bucket": pa.array([int(own[a])], pa.int32()), "refs": pa.array([worddict.pack(rows.column("n").to_numpy())], pa.binary()),
-                    "ids": pa.array([_packed_flat(ends.astype(np.uint32), flat.astype(np.uint32))], pa.binary()), "pieces": pa.array([worddict.pack_words(rows.column("text").to_pylist())], pa.binary())})
-
-    return words.select("bucket", "n", "ids", "text").mapInArrow(run, "bucket int, refs binary, ids binary, pieces binary")
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= CHUNK_ROWS:
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                bucket, n = whole.column("bucket").to_numpy(), whole.column("n").to_numpy()
+                last = int(np.flatnonzero((bucket != bucket[-1]) | (n != n[-1]))[-1]) + 1 if bucket[0] != bucket[-1] or n[0] != n[-1] else 0
+                if last:
+                    yield from packed(whole.slice(0, last))
+                held, size = [whole.slice(last)], len(bucket) - last
+        if held:
+            yield from packed(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return rows.select("bucket", "n", F.coalesce("at", F.lit(0)).alias("at_"), "id", "piece").mapInArrow(run, "bucket int, refs binary, ids binary, pieces binary")
 
 
 class _Words:
@@ -212,7 +232,7 @@ class _Words:
 def _returned(distinct: DataFrame, buckets: int, path: str) -> DataFrame:
     """block, numbers, ids and pieces (packed) of each record of asked()."""
     none = {"block": "long", "numbers": "binary", "ids": "binary", "pieces": "binary"}
-    words = _chunked(_decoded(distinct, path)).withColumns({c: F.lit(None).cast(none[c]) for c in ("block", "numbers")})
+    words = _decoded(distinct, path).withColumns({c: F.lit(None).cast(none[c]) for c in ("block", "numbers")})
     refs = distinct.where("block is not null").select("bucket", "block", "numbers", "refs").withColumns({c: F.lit(None).cast(none[c]) for c in ("ids", "pieces")})
     # a bucket's words come before the references to them
     every = words.unionByName(refs).repartition(buckets, "bucket").sortWithinPartitions("bucket", F.col("block").asc_nulls_first())
@@ -221,7 +241,7 @@ def _returned(distinct: DataFrame, buckets: int, path: str) -> DataFrame:
         bucket, chunks, words = None, [], None
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for own, block, numbers, refs, ids, pieces in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "numbers", "refs", "ids", "pieces")), strict=True):
+            for own, block, numbers, refs, ids, pieces in ([batch.column(c)[k].as_py() for c in ("bucket", "block", "numbers", "refs", "ids", "pieces")] for k in range(batch.num_rows)):
                 if own != bucket:
                     bucket, chunks, words = own, [], None
                 if block is None:
@@ -245,7 +265,8 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def finish(row):
         n, seq = row["n_distinct"], worddict.unpack(row["seq"])
         lengths, numbers, decoded = np.zeros(n, np.int64), [b""] * n, [b""] * n
-        for record in row["found"]:
+        while row["found"]:
+            record = row["found"].pop()
             sizes, flat = _unpacked(record["ids"])
             ends, decimal = np.cumsum(sizes, dtype=np.int64).tolist(), [b"%d" % i for i in flat.tolist()]
             own = worddict.numbers_of(record["numbers"])

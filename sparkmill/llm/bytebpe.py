@@ -103,12 +103,12 @@ def _gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nda
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
 
 
-def pack_ids(ids: np.ndarray) -> bytes:
+def pack_ids(ids: np.ndarray, level: int = 1) -> bytes:
     """Ids in as few bytes each as all need, compressed."""
     import zstandard
 
     small = not len(ids) or int(ids.max()) < 1 << 16
-    return bytes([2 if small else 4]) + zstandard.ZstdCompressor(level=1).compress(ids.astype("<u2" if small else "<u4").tobytes())
+    return bytes([2 if small else 4]) + zstandard.ZstdCompressor(level=level).compress(ids.astype("<u2" if small else "<u4").tobytes())
 
 
 def unpack_ids(data: bytes) -> np.ndarray:

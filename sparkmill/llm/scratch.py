@@ -53,7 +53,7 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) ->
     spark = df.sparkSession
     made = f"sparkmill_{uuid.uuid4().hex}"
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").option("path", new_path(spark, name)).bucketBy(buckets, key).saveAsTable(made)
+    df.write.format("parquet").option("compression", "zstd").option("path", new_path(spark, name)).bucketBy(buckets, key).saveAsTable(made)
     try:
         return spark.table(made)
     finally:

@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 from .scratch import bucketed
 
-BLOCK_BYTES, BLOCK_WORDS, BUCKET_WORDS = 32 << 20, 500_000, 500_000
+BLOCK_BYTES, BLOCK_WORDS, BUCKET_WORDS = 16 << 20, 500_000, 500_000
 #: Words that a record should hold at least, where there are blocks enough for that; and one hash in so many is kept for the estimate.
 RECORD_WORDS, KEPT_HASHES = 256, 512
+#: Of the compression of words, which are what moves most.
+LEVEL = 9
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -53,18 +55,15 @@ def pack_words(words: list[str]) -> bytes:
 def pack_raw(raw: list[bytes]) -> bytes:
     import zstandard
 
-    sizes = np.fromiter(map(len, raw), "<u4", len(raw)).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(len(raw).to_bytes(4, "little") + sizes + b"".join(raw))
+    # a byte that UTF-8 never has stands between
+    return zstandard.ZstdCompressor(level=LEVEL).compress(len(raw).to_bytes(4, "little") + b"\xff".join(raw))
 
 
 def unpack_raw(data: bytes) -> list[bytes]:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int.from_bytes(raw[:4], "little")
-    ends = np.cumsum(np.frombuffer(raw, "<u4", n, 4)).tolist()
-    text = raw[4 + 4 * n :]
-    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    return raw[4:].split(b"\xff") if raw[:4] != bytes(4) else []
 
 
 def unpack_words(data: bytes) -> list[str]:
@@ -181,7 +180,8 @@ def met(table: DataFrame, found: DataFrame, finish: Callable, schema: str) -> Da
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):  # one block at a time
+                row = batch.slice(k, 1).to_pylist()[0]
                 yield finish(row | {"found": row["found"] or []})
 
     back = found.groupBy("block").agg(F.collect_list(F.struct(*(c for c in found.columns if c != "block"))).alias("found"))

@@ -141,6 +141,7 @@ def test_many_blocks_and_buckets(spark, odd, monkeypatch, words):
     monkeypatch.setattr(worddict, "BLOCK_BYTES", 2000)
     monkeypatch.setattr(worddict, "BUCKET_WORDS", words)
     monkeypatch.setattr(worddict, "KEPT_HASHES", 1)
+    monkeypatch.setattr(bpe, "CHUNK_ROWS", words)
     held = worddict.blocks(odd, lambda: tokencount.pre_tokens, True)
     assert held.count() > 10 and (worddict.buckets_of(held) > 20) == (words == 3)
     library, model = Tokenizer.from_file(WORDS), sentencepiece.SentencePieceProcessor(model_file=PIECES)
