@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sampling import least_of_each
-from .scratch import materialise, table
+from .scratch import materialise, slices, table
 
 SIZES, BUCKETS, DIMENSIONS = (2, 3, 4), 1 << 17, 16
 PER_LANGUAGE, ALTOGETHER, EPOCHS, RATE, SLICE, SEED = 400, 4000, 8, 0.5, 1 << 18, 11
@@ -218,7 +218,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.as_py() for t in batch.column(1)]
             some = [k for k, t in enumerate(texts) if model is not None and has_letter(t)]
             language, score, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
@@ -238,7 +238,7 @@ def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
 
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.as_py() for t in batch.column(text_col)]
             keep = np.zeros(len(texts), bool)
             some = [k for k, t in enumerate(texts) if model is not None and has_letter(t)]

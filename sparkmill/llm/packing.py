@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytebpe import byte_bpe_50k, encoder, pack_ids, unpack_ids
-from .scratch import materialise, table, unused
+from .scratch import materialise, slices, table, unused
 
 CAPACITY, GROUP_SIZE, OPEN_BINS = 2048, 16_384, 512
 #: Pieces whose ids a task holds at a time.
@@ -121,7 +121,7 @@ def best_fit(parts: DataFrame, capacity: int = CAPACITY, group_size: int = GROUP
 
     def run(batches):
         group, packer = None, None
-        for batch in (b.slice(k, AT_ONCE) for b in batches for k in range(0, b.num_rows, AT_ONCE)):
+        for batch in slices(batches, AT_ONCE):
             ids, offsets = [], []
             for g, n in zip(batch.column(own).to_pylist(), batch.column("length").to_pylist(), strict=True):
                 if g != group:

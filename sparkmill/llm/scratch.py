@@ -10,6 +10,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +61,13 @@ def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) ->
         spark.sql(f"DROP TABLE {made}")  # its files lie at a path of their own and stay
 
 
+def slices(batches: Iterable, rows: int = 1024) -> Iterator:
+    """Arrow batches of at most so many rows: what comes out in small batches needs small buffers on both sides."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def unused(df: DataFrame, name: str) -> str:
     """The name, or the first like it, that no column of df has."""
     taken = {c.lower() for c in df.columns}

@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sampling import least_of_each
-from .scratch import materialise, table
+from .scratch import materialise, slices, table
 
 TOXIC, CLEAN, FOLDS, HELD, THRESHOLD = 3000, 6000, 3, 1, 0.7
 #: Terms each toxic document should have, least support of a term, most clean documents among those with it; terms, candidates for them and letters of a learned word at most.
@@ -476,7 +476,7 @@ def score(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> Data
     def run(batches):
         scorer = shared.value
         finder = scorer.ready()
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.as_py() for t in batch.column(1)]
             hits = [finder.hits(t) for t in texts]
             p = [scorer.score(h, t) for h, t in zip(hits, texts, strict=True)]
@@ -494,7 +494,7 @@ def accepted(docs: DataFrame, scorer: Scorer, threshold: float = THRESHOLD) -> D
     def run(batches):
         scorer = shared.value
         finder = scorer.ready()
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t.as_py() for t in batch.column("text")]
             yield batch.filter(pa.array([scorer.score(finder.hits(t), t) < threshold for t in texts], pa.bool_()))
 
