@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, tokenizer: tuple, end_id: int = 0, capacity: int = C
 
     def run(batches):
         bpe = encoder(*tokenizer)
-        for batch in batches:
+        for batch in slices(batches, 4 * AT_ONCE):
             out: list[list] = [[], [], [], [], [], []]
             held = 0
             for doc, ids in zip(batch.column(0).to_pylist(), bpe.encode_all(batch.column(1).to_pylist()), strict=True):
