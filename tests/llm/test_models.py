@@ -395,3 +395,35 @@ def test_pipeline(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in got} == seen[2]
     assert all(r["offset"] + r["length"] <= packing.CAPACITY for r in got)
+
+
+def test_pipeline_of_odd_tables(spark, odd, none, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing columns go through every stage as its docstring says."""
+    taught = [(1000 + k, speech(lang, k, 60), lang) for k in range(30) for lang in SYLLABLES]
+    taught = [(d + 100 * list(SYLLABLES).index(lang), t, lang) for d, t, lang in taught]
+    long = " ".join(speech("aa", 900 + k, 200) for k in range(300))
+    rows = [*taught, (2000, None, "aa"), (2001, "", None), (2002, " \n ", "bb"), (2003, long, "aa"), (2004, taught[0][1], None), (2004, taught[0][1], None),
+            (None, speech("bb", 901, 70), "bb"), (2005, speech("aa", 902, 50) + " idiot", None), (2006, "a" + " " * 300_000 + long[:400], "aa")]
+    docs = with_clashes(spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"source": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long")}))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1000, 1, None), (None, 1, 1), (9999, 0, 1), (1001, 1, 0), (1001, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = docs
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        before = got
+        stage(spark, before, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        got = spark.read.parquet(f"{tmp_path}/{k}")
+        assert got.columns == docs.columns
+        # whole rows of the stage before, none more often than there
+        assert got.exceptAll(before).isEmpty()
+        ids = [r["doc_id"] for r in got.select("doc_id").collect()]
+        if k == 0:
+            assert {2003, 2004, 2005, 2006, None} <= set(ids) and not {2000, 2001, 2002} & set(ids) and ids.count(2004) == 2
+        if k == 1:
+            assert {2003, 2004, 2006, None} <= set(ids) and 2005 not in ids
+    assert 2004 not in ids and len(set(ids)) == len(ids) and None in ids
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == set(ids)
+    for table in ("documents", "labels"):
+        spark.read.parquet(f"{tmp_path}/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{table}.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").isEmpty()
