@@ -39,6 +39,8 @@ from .skew import join_by_key
 
 COSINE, LINES, WIDTH, RECALL, SEED = 0.93, 32, 1.0, 0.997, 7
 SIDE, LEAST_BLOCK, MOST_BLOCK = 16, 4096, 32_768
+#: Tasks that pairs of blocks are dealt to, at most.
+MOST_TASKS = 65_536
 
 
 def calibrated(cosine: float, lines: int, width: float, recall: float) -> tuple[float, int]:
@@ -122,12 +124,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, block: int | None =
 
     reps = materialise(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).withColumn("dim", F.size("embedding")), "representatives")
     size = F.lit(block) if block else F.least(F.greatest(F.ceil(F.col("n") / SIDE), F.lit(LEAST_BLOCK)), F.lit(MOST_BLOCK))
-    sizes = reps.groupBy("label", "dim").agg(F.count("*").alias("n")).select("label", "dim", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
+    sizes = reps.groupBy("label", "dim").agg(F.count("*").alias("n")).select("label", "dim", "n", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
+    # by what there is to compare, not by bytes, of which a pair of blocks has few
+    n = F.col("n").cast("double")
+    pairs, work = sizes.agg(F.sum(F.col("blocks") * (F.col("blocks") + 1.0) / 2), F.sum(n * n / (2 * LEAST_BLOCK**2))).first()
+    tasks = int(max(1, min(pairs or 1, math.ceil(work or 1), MOST_TASKS)))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    dealt = (reps.join(sizes, ["label", "dim"]).withColumn("own", own)
+    dealt = (reps.join(sizes.drop("n"), ["label", "dim"]).withColumn("own", own)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("label", "dim", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "copies", "embedding"))
-    found = materialise(dealt.groupBy("label", "dim", "a", "b").applyInPandas(_links(cosine), "u long, v long, n long"), "vector-links")
+    found = materialise(dealt.repartition(tasks, "label", "dim", "a", "b").groupBy("label", "dim", "a", "b").applyInPandas(_links(cosine), "u long, v long, n long"), "vector-links")
 
     counts = found.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("n"))
     roots = components(found.where("u <> v").select("u", "v"))
